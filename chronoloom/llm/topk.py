@@ -1,7 +1,7 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are lifted by one component, sqrt(M - |x|^2) with M the largest squared norm, to equal norms;
-queries get 0 there.  The inner product then falls as the Euclidean distance of the lifted vectors
+Candidates are lifted by one component, sqrt(M - |x|^2) with M the largest squared norm, to equal norms;
+queries get 0 there, and so have other distances to the pivots than the same vector as a candidate.  The inner product then falls as the Euclidean distance of the lifted vectors
 grows: d^2 = |q|^2 + M - 2 q.x.  Distances of all vectors to PIVOTS pivots are computed once.  By the
 triangle inequality, the largest |d(q, p) - d(x, p)| over the pivots bounds d(q, x) from below, and so
 q.x from above.
@@ -50,9 +50,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype=np.int64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(n, -1) if n else np.zeros((0, 0), dtype)
 
 
-def _lifted(v: np.ndarray, most: float) -> np.ndarray:
+def _lifted(v: np.ndarray, most: float | None) -> np.ndarray:
+    """Candidates with their further component, or queries (most is None) with 0."""
     x = v.astype(np.float64)
-    return np.hstack([x, np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1)))[:, None]])
+    return np.hstack([x, np.zeros((len(x), 1)) if most is None else np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1)))[:, None]])
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -117,20 +118,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
         raise ValueError("components are too large for exact products in double precision")
     anchors = choose_pivots(_lifted(sample, most), pivots)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch], lift: float | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1))
-            far = _distances(_lifted(v, most), anchors) if len(v) else np.zeros((0, len(anchors)))
+            far = _distances(_lifted(v, lift), anchors) if len(v) else np.zeros((0, len(anchors)))
             lists = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel(), t))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(far, pa.float64()), pa.array(far.argmin(axis=1) if len(far) else np.zeros(0), pa.int32())], names=["id", "v", "far", "cell"])
 
-    table = tables.keep(vectors.select("id", "v").mapInArrow(measured, "id long, v array<long>, far array<double>, cell int"), "pivots")
-    counted = table.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("m")).collect()  # a row for each pivot
-    parts = {r.cell: (-(-r.n // block), -(-r.m // QUERIES)) for r in counted}
-    number = lambda which: F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, max(1, p[which]))])[F.col("cell")]
-    spread = lambda which: F.pmod(F.xxhash64("id", F.lit(11)), number(which)).cast("int")
-    candidates = table.withColumn("part", spread(0))
-    queries = table.where(is_query).withColumn("part", spread(1))
+    shape = "id long, v array<long>, far array<double>, cell int"
+    table = tables.keep(vectors.select("id", "v").mapInArrow(lambda b: measured(b, most), shape), "pivots")
+    asking = tables.keep(vectors.where(is_query).select("id", "v").mapInArrow(lambda b: measured(b, None), shape), "asking")
+
+    def dealt(frame: DataFrame, size: int) -> DataFrame:
+        """frame with its part, of about size rows, of its cell."""
+        counted = frame.groupBy("cell").count().collect()  # a row for each pivot at most
+        number = F.create_map(*[F.lit(x) for r in counted for x in (r["cell"], -(-r["count"] // size))])[F.col("cell")] if counted else F.lit(1)
+        return frame.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), number).cast("int"))
+
+    candidates, queries = dealt(table, block), dealt(asking, QUERIES)
+    cells = sorted(r.cell for r in table.select("cell").distinct().collect())
 
     # Ranges of the distances to each pivot, by block; as many blocks as the vectors divided by block.
     span = lambda f: [f(F.element_at("far", i + 1)) for i in range(len(anchors))]
@@ -173,7 +179,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     # The other blocks, where the bound of some query of the part can reach its floor.
     reach = queries.groupBy(F.col("cell").alias("qc"), F.col("part").alias("qp")).agg(F.array(*span(F.min)).alias("q_near"), F.array(*span(F.max)).alias("q_far"), F.min(F.coalesce("floor", F.lit(-(2**62)))).alias("floor"), F.max(square).alias("norm"), F.count("*").alias("n"))
     blocks = ranges.groupBy("cell").agg(F.collect_list(F.struct("part", "near", "far")).alias("parts"))
-    every = reach.withColumn("cell", F.explode(F.lit(sorted(parts)))).where("cell <> qc").join(blocks, "cell").select("*", F.explode("parts").alias("b")).drop("parts")
+    every = reach.withColumn("cell", F.explode(F.lit(cells))).where("cell <> qc").join(blocks, "cell").select("*", F.explode("parts").alias("b")).drop("parts")
     gap = F.array_max(F.transform(F.arrays_zip("q_near", "q_far", F.col("b.near").alias("near"), F.col("b.far").alias("far")), lambda z: F.greatest(z["near"] - z["q_far"], z["q_near"] - z["far"], F.lit(0.0))))
     open_ = every.where((F.col("norm") + most - gap * gap) / 2 + ROUNDING * (F.col("norm") + most) >= F.col("floor")).select("qc", "qp", "cell", F.col("b.part").alias("part"))
     rest = against(together(queries, tables.keep(open_, "open")))

@@ -222,10 +222,11 @@ def test_pivot_bounds_save_products():
     v = np.floor(centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 6)) * 10).astype(np.int64)
     most = float((v * v).sum(axis=1).max())
     lifted = topk._lifted(v, most)
-    far = topk._distances(lifted, topk.choose_pivots(lifted, 16))
+    anchors = topk.choose_pivots(lifted, 16)
+    far, asked = topk._distances(lifted, anchors), topk._distances(topk._lifted(v[:10], None), anchors)
     ids = np.arange(2000)
     floor = np.full(10, np.iinfo(np.int64).min)
-    found, products = topk.best_of(v[:10], ids[:10], far[:10], floor, v, ids, far, most, 5)
+    found, products = topk.best_of(v[:10], ids[:10], asked, floor, v, ids, far, most, 5)
     assert products < 10 * 2000
     for q in range(10):
         best = heapq.nsmallest(5, ((-int(v[q] @ v[i]), i) for i in range(2000) if i != q))

@@ -181,7 +181,7 @@ def test_intersections_and_registers():
     pool = rng.integers(0, 2**64, 6000, dtype=np.uint64)
     sets = [np.unique(rng.choice(pool, k)) for k in (1, 50, 3000, 5000)]
     both = near_dedup.intersections(sets)
-    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(4))
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in itertools.permutations(range(4), 2))
     size = near_dedup.ROWS * near_dedup.BANDS
     registers = np.stack([near_dedup.signature(s, size, near_dedup._multipliers(size)) for s in sets])
     counts = np.array([len(s) for s in sets])
