@@ -1,15 +1,65 @@
-"""The corpus pipeline over documents; part of subpackage llm."""
+"""The corpus pipeline over documents; part of subpackage llm.
+
+Quality classifier, near-duplicates, mixing of sources, BPE encoding and decoding: each stage takes
+what the one before kept, whole.  All but the last return the columns they are given; the order in
+which mixing writes its rows is its decision, and the last stage reads them in it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom.llm import bpe, mixing, quality
+from chronoloom.llm.common import Tables, shared_path
+from chronoloom.llm.near_dedup import near_duplicates
+from chronoloom.llm.queries import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes; it learns from the labels outside the held-out fold."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=quality.held_out())
+    return quality.with_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that of the smallest doc_id; documents without an id stay."""
+    found = Tables(spark).keep(near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").count(), "kept")
+    kept = docs.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    if found.where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture."""
+    mixed = mixing.mix(docs)
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids (four bytes each, little-endian) and the digest of what they decode to."""
+    path = tokenizer_path()
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
+#: Compression, HyperMinHash and BPE are beyond SQL; tests hold the result against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
+        path = shared_path(spark, "stage")
+        made.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
