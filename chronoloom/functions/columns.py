@@ -64,11 +64,16 @@ def kind(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c), "nan").when(c == float("inf"), "posinf").when(c == -float("inf"), "neginf").otherwise("finite")
 
 
+def epoch_seconds(c: Column) -> Column:
+    """Whole seconds since 1970 of a time without zone (one with a zone: as shown in the session's)."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
 def tick(start: Column, freq: str, origin: Column) -> Column:
     """The calendar ordinal of step origin of a series from start, counted in whole steps of freq."""
     multiple, unit = parse_frequency(freq)
     if unit in SECONDS:
-        return F.floor(F.unix_seconds(start) / (SECONDS[unit] * multiple)).cast("long") + origin
+        return F.floor(epoch_seconds(start) / (SECONDS[unit] * multiple)).cast("long") + origin
     months = F.year(start) * 12 + F.month(start) - 1 - 1970 * 12
     if unit == "B":
         days = F.datediff(start, F.lit("1970-01-01").cast("date"))
@@ -77,7 +82,7 @@ def tick(start: Column, freq: str, origin: Column) -> Column:
 
 
 def position_time(start: Column, seconds: int, position: Column) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(start) + position * seconds)
+    return F.timestamp_add("SECOND", position * seconds, start.cast("timestamp_ntz"))
 
 
 def safe_name(c: Column) -> Column:

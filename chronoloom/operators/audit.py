@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import kind
+from ..functions.columns import kind, position_time
 from .series import SERIES, along
 
 COUNTS = ["channel_windows", "value_count", "finite_count", "nan_count", "posinf_count", "neginf_count", "nonfinite_windows", "constant_windows", "all_nonfinite_windows"]
@@ -47,7 +47,7 @@ def rollup(counts: DataFrame, dataset: str, term: str) -> DataFrame:
 def nonfinite_positions(panel: DataFrame, start: str, seconds: int) -> DataFrame:
     """item, channel, t, ts, kind of every value that is not finite."""
     found = panel.withColumn("kind", kind(F.col("y"))).where("kind <> 'finite'")
-    return found.select(*SERIES, "t", F.timestamp_seconds(F.unix_seconds(F.lit(start).cast("timestamp")) + F.col("t") * seconds).alias("ts"), "kind")
+    return found.select(*SERIES, "t", position_time(F.lit(start), seconds, F.col("t")).alias("ts"), "kind")
 
 
 def events(counts: DataFrame) -> DataFrame:

@@ -73,6 +73,11 @@ def selection_rates(selected: DataFrame, methods: DataFrame, rate: str = "rate")
     return methods.join(agg, "method", "left").select("method", F.coalesce("rate_sum", F.lit(0.0)).alias("rate_sum"), F.coalesce("tasks", F.lit(0)).alias("tasks"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's; null without variation."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def average_rank(value: str, by: list[str]) -> Column:
     """Ranks from 1, ties at their mean."""
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
@@ -82,7 +87,7 @@ def spearman(rows: DataFrame, least: int = 3) -> DataFrame:
     """feature, model, rho, n; rows has feature, model, x, y; null under `least` rows or without variation."""
     good = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
     r = good.withColumn("rx", average_rank("x", ["feature", "model"])).withColumn("ry", average_rank("y", ["feature", "model"]))
-    agg = r.groupBy("feature", "model").agg(F.count("*").alias("n"), F.min("x").alias("_a"), F.max("x").alias("_b"), F.min("y").alias("_c"), F.max("y").alias("_d"), F.corr("rx", "ry").alias("_r"))
+    agg = r.groupBy("feature", "model").agg(F.count("*").alias("n"), F.min("x").alias("_a"), F.max("x").alias("_b"), F.min("y").alias("_c"), F.max("y").alias("_d"), correlation("rx", "ry").alias("_r"))
     return agg.select("feature", "model", F.when((F.col("n") >= least) & (F.col("_a") < F.col("_b")) & (F.col("_c") < F.col("_d")), F.col("_r")).alias("rho"), "n")
 
 

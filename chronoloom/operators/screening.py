@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .reports import correlation
 from .series import SERIES, along, forward_fill, rolling_median_iqr
 
 #: Fewest steps of a usable series by frequency.
@@ -116,7 +117,7 @@ def correlated_pairs(panel: DataFrame, within_item: bool = True, threshold: floa
         p = p.withColumn("item", F.count("*").over(W.partitionBy("name")).cast("string"))
     pairs = p.alias("a").join(p.alias("b"), (F.col("a.item") == F.col("b.item")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.name") < F.col("b.name")))
     both = pairs.where(F.col("a.y").isNotNull() & F.col("b.y").isNotNull())
-    r = both.groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.corr("a.y", "b.y").alias("r"))
+    r = both.groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(correlation("a.y", "b.y").alias("r"))
     return r.where(F.abs("r") > threshold)
 
 

@@ -1,4 +1,4 @@
-"""The registry of this library's own queries and the SQL that checks them."""
+"""This library's own queries and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import model_queries, report_queries, series_queries  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Metrics of the seasonal-naive forecast of every official window."""
+    return QUERIES["g1_window_metrics"](spark, sf_dir)
