@@ -2,7 +2,7 @@
 
 What SQL can say is window functions and aggregates; spectra and the decomposition, which need a whole
 series at once, are NumPy in one grouped pass.  The decomposition is classical: a centred moving
-average as trend, phase means (made to sum to zero) as season, the rest as remainder.
+average as trend (its ends extended in a line), phase means (made to sum to zero) as season, the rest as remainder.
 """
 
 from __future__ import annotations
@@ -221,7 +221,14 @@ def decompose(x: np.ndarray, periods: list[int]) -> tuple[np.ndarray, dict[int,
     width = max(usable, default=max(3, len(x) // 20))
     kernel = np.ones(width) / width if width % 2 else np.r_[0.5, np.ones(width - 1), 0.5] / width
     half = len(kernel) // 2
-    trend = np.convolve(np.pad(x, half, mode="reflect" if len(x) > half else "edge"), kernel, mode="valid")[: len(x)]
+    if len(x) > 2 * half + 1:
+        core = np.convolve(x, kernel, mode="valid")
+        k = min(width, len(core))
+        ahead = np.arange(1, half + 1)
+        rise = lambda part: (part[-1] - part[0]) / max(1, len(part) - 1)
+        trend = np.concatenate([core[0] - rise(core[:k]) * ahead[::-1], core, core[-1] + rise(core[-k:]) * ahead])
+    else:
+        trend = np.full(len(x), x.mean())
     rest, seasons = x - trend, {}
     for m in usable:
         phase = np.array([rest[k::m].mean() for k in range(m)])
