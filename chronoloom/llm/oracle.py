@@ -1,5 +1,62 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+The others (entropy trees over parsed html, compression, bottom-k sketches of the library's own
+hashes, byte-pair encoding, tables filled by turns) are held against plain versions in tests.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from . import licenses
+
+_TERM = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    counts = {(n, t): licenses.terms_of(x).count(t) for n, x in licenses.TEMPLATES.items() for t in set(licenses.terms_of(x))}
+    template = ", ".join(f"({_quoted(n)}, {_quoted(t)}, {c})" for (n, t), c in sorted(counts.items()))
+    return f"""WITH tpl AS (SELECT * FROM (VALUES {template}) v(name, term, tf)),
+files AS (SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(floor(doc_id / 64.0) AS BIGINT)) AS folder FROM documents),
+lines AS (SELECT doc_id, row_number() OVER () AS line_id, line FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM files)),
+words AS (SELECT doc_id, line_id, term, count(*) AS tf FROM (SELECT doc_id, line_id, unnest(regexp_extract_all(lower(line), '{_TERM}')) AS term FROM lines) WHERE term IN (SELECT term FROM tpl) GROUP BY ALL),
+n AS (SELECT count(DISTINCT line_id) AS n FROM words),
+idf AS (SELECT t.term, ln(1 + (SELECT n FROM n) / CAST(greatest(coalesce(d.df, 0), 1) AS DOUBLE)) AS w FROM (SELECT DISTINCT term FROM tpl) t LEFT JOIN (SELECT term, count(*) AS df FROM words GROUP BY 1) d USING (term)),
+tv AS (SELECT name, term, tf * w AS x FROM tpl JOIN idf USING (term)),
+tn AS (SELECT name, sqrt(sum(x * x)) AS size FROM tv GROUP BY 1),
+lv AS (SELECT doc_id, line_id, term, tf * w AS x FROM words JOIN idf USING (term)),
+ln_ AS (SELECT line_id, sqrt(sum(x * x)) AS size FROM lv GROUP BY 1),
+cosines AS (SELECT lv.doc_id, lv.line_id, tv.name, sum(lv.x * tv.x) / (max(ln_.size) * max(tn.size)) AS score FROM lv JOIN tv USING (term) JOIN ln_ USING (line_id) JOIN tn USING (name) GROUP BY 1, 2, 3),
+best AS (SELECT doc_id, name, score FROM cosines WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, name) = 1),
+heads AS (SELECT folder, min(doc_id) AS doc_id FROM files GROUP BY 1),
+given AS (SELECT folder, name FROM heads JOIN best USING (doc_id))
+SELECT f.doc_id, f.folder || '/' || f.doc_id AS path, b.name AS license, coalesce(round(b.score, 6), 0.0) AS score,
+CASE WHEN b.name IS NOT NULL THEN 'own' WHEN g.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_source,
+CASE WHEN b.name IS NULL AND g.name IS NOT NULL THEN f.folder END AS inherited_from, coalesce(b.name, g.name) AS effective_license
+FROM files f LEFT JOIN best b USING (doc_id) LEFT JOIN given g ON g.folder = f.folder"""
+
+
+WARC = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN m.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m.first_id <> p.page_id THEN m.first_id END AS refers_to
+FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND p.payload_bytes >= 1000"""
+
+NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS node FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM e q JOIN e c USING (i) WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+SQL: dict[str, str] = {"op2_license_scan": license_sql(), "op6_warc_revisits": WARC, "op8_minhash_near_dedup": NEAR, "op10_exact_top_k": TOP_K}
