@@ -6,8 +6,9 @@ normalised difference of its compressed sizes under them, the three ratios of co
 logistic regression on labelled texts that the dictionaries have not seen calibrates them to a score.
 
 Fitting takes a bounded sample of the labelled rows: at most SAMPLE of each class, chosen by a hash of
-the id, half for the dictionaries (of each text the BYTES-byte slices at hash-chosen places) and half
-for the calibration (whole texts, scored in the cluster; only their features come to the driver).
+the id and dealt into two folds.  Each fold's dictionaries (trained on the BYTES-byte slices at
+hash-chosen places of its texts) measure the other's whole texts, in the cluster; only the features
+come to the driver, for the calibration.  The model's own dictionaries are trained on both folds.
 Scoring takes every text whole.
 
 Defined results: null and empty texts have the features of no bytes and a score like any; rows whose
@@ -33,7 +34,7 @@ DICTIONARY = 64 << 10
 LEVEL = 3
 #: A text's segments for its worst one, in characters.
 SEGMENT = 2048
-FEATURES = 7
+FEATURES = 9
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,8 @@ class _Compressors:
         worst = d
         if len(raw) > SEGMENT:
             worst = min(self._difference(raw[k : k + SEGMENT])[2] for k in range(0, len(raw) - SEGMENT // 2, SEGMENT))
-        return [d, g / n, b / n, len(self.plain.compress(raw)) / n, worst, math.log1p(len(raw)), (b - g) / n]
+        own, size = len(self.plain.compress(raw)) / n, math.log1p(len(raw))
+        return [d, g / n, b / n, own, worst, size, (b - g) / n, d * math.exp(-size / 4), own * own]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -107,25 +109,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"), F.min(label_col).alias("least")).where("label = least")
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
     chosen = [known.where(F.col("label") == k).orderBy(order, id_col).limit(sample) for k in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).select(id_col, "label", (F.pmod(order, F.lit(2)) == 0).alias("teach"))
+    chosen = chosen[0].unionByName(chosen[1]).select(id_col, "label", F.pmod(order, F.lit(2)).cast("int").alias("fold"))
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)  # at most 2 * sample ids
 
     seed = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(23)), F.lit(2**31))
     cut = F.udf(lambda text, s: [bytearray(x) for x in _slices(text or "", s)], "array<binary>")
-    taught = rows.where("teach").select("label", F.col(id_col).alias("id"), cut("text", seed).alias("slices")).collect()
+    taught = rows.select("label", "fold", F.col(id_col).alias("id"), cut("text", seed).alias("slices")).collect()
     taught.sort(key=lambda r: (str(r.id), [bytes(s) for s in r.slices]))
-    by_label = [[bytes(s) for r in taught if r.label == k for s in r.slices] for k in (0, 1)]
-    if min(map(len, by_label)) < 8:
+    slices = {(k, fold): [bytes(s) for r in taught if (r.label, r.fold) == (k, fold) for s in r.slices] for k in (0, 1) for fold in (0, 1)}
+    if min(map(len, slices.values())) < 8:
         return None
-    good, bad = _dictionary(by_label[1]), _dictionary(by_label[0])
+    folds = [(_dictionary(slices[1, fold]), _dictionary(slices[0, fold])) for fold in (0, 1)]
+    good, bad = _dictionary(slices[1, 0] + slices[1, 1]), _dictionary(slices[0, 0] + slices[0, 1])
 
     @F.pandas_udf("array<double>")
-    def measured(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = _Compressors(good, bad)
-        for batch in texts:
-            yield pd.Series([c.features(t) for t in batch])
+    def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        by_fold = [_Compressors(*folds[1]), _Compressors(*folds[0])]  # each fold by the other's
+        for texts, fold in batches:
+            yield pd.Series([by_fold[k].features(t) for t, k in zip(texts, fold, strict=True)])
 
-    seen = rows.where("not teach").select("label", F.col(id_col).alias("id"), measured("text").alias("x")).collect()
+    seen = rows.select("label", F.col(id_col).alias("id"), measured("text", "fold").alias("x")).collect()
     seen.sort(key=lambda r: (str(r.id), r.x))
     x, y = np.array([r.x for r in seen]).reshape(len(seen), FEATURES), np.array([r.label for r in seen])
     if min((y == 0).sum(), (y == 1).sum()) < 4:
