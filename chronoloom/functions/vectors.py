@@ -16,6 +16,11 @@ def present(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull())
 
 
+def total(a: Column) -> Column:
+    """The sum of the values there are; null where there are none."""
+    return F.when(F.size(present(a)) > 0, _sum(present(a)))
+
+
 def mean(a: Column) -> Column:
     return F.try_divide(_sum(present(a)), F.size(present(a)))
 

@@ -226,7 +226,7 @@ def g15_family_prediction(spark, sf_dir):
     + r("(d * p - b * q) / (a * d - b * b) / r0")
     + " AS b0, "
     + r("(a * q - b * p) / (a * d - b * b) / r1")
-    + " AS b1, n AS windows FROM a"
+    + " AS b1, n AS windows FROM a WHERE n >= 2"
 )
 def g16_horizon_ridge(spark, sf_dir):
     d = design(spark, sf_dir).select(F.col("item").alias("query_id"), F.col("origin").alias("tick"), "window", F.pmod("h", F.lit(6)).alias("h"), "scale", "residual", "x")

@@ -139,7 +139,7 @@ def b13_drop_variates(spark, sf_dir):
 def b16_context_tail(spark, sf_dir):
     a = series.arrays(hourly_panel(spark, sf_dir)).select("*", F.explode(F.array(F.lit(10), F.lit(L), F.lit(500))).alias("origin"))
     tail = vectors.tail(F.col("values"), F.col("origin"), L)
-    return a.select(*SERIES, "origin", F.size(tail).cast("long").alias("n"), F.aggregate(vectors.present(tail), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return a.select(*SERIES, "origin", F.size(tail).cast("long").alias("n"), vectors.total(tail).alias("total"))
 
 
 # Window planning
@@ -225,9 +225,7 @@ def c12_rolling_origins(spark, sf_dir):
 def c13_materialised_windows(spark, sf_dir):
     refs = prepared(spark, sf_dir).where("split = 'test'").drop("split", "tick")
     m = windows.materialise(refs, series.arrays(hourly_panel(spark, sf_dir)), L, H)
-    total = lambda c: F.aggregate(vectors.present(F.col(c)), F.lit(0.0), lambda s, x: s + x)
-    none = lambda c: F.when(F.size(vectors.present(F.col(c))) > 0, total(c))
-    return m.select("item", "channel", "origin", none("context").alias("context_sum"), none("target").alias("target_sum"), (F.size("context") + F.size("target")).cast("long").alias("n"))
+    return m.select("item", "channel", "origin", vectors.total(F.col("context")).alias("context_sum"), vectors.total(F.col("target")).alias("target_sum"), (F.size("context") + F.size("target")).cast("long").alias("n"))
 
 
 @query(PANEL + f"SELECT w.item, c AS channel, w.origin, p.channel AS other, " + r("avg(p.y)") + f" AS past_mean FROM wins w, (SELECT unnest([0, 1]) AS c) cc JOIN panel p ON p.item = w.item AND p.channel <> c AND p.t >= w.origin - {L} AND p.t < w.origin GROUP BY 1, 2, 3, 4")
@@ -241,7 +239,7 @@ def c14_other_variates(spark, sf_dir):
 def c16_covariate_window(spark, sf_dir):
     a = series.arrays(hourly_panel(spark, sf_dir))
     w = windows.covariate_window(F.col("values"), F.lit(HOURS - 12), L, H)
-    return a.select(*SERIES, F.size(w).cast("long").alias("n"), F.size(vectors.present(w)).cast("long").alias("observed"), F.aggregate(vectors.present(w), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return a.select(*SERIES, F.size(w).cast("long").alias("n"), F.size(vectors.present(w)).cast("long").alias("observed"), vectors.total(w).alias("total"))
 
 
 @query(PANEL + "SELECT min(n) AS min_length, max(n) AS max_length, avg(n) AS avg_length, CAST(sum(n) AS BIGINT) AS sum_length, count(*) AS series FROM (SELECT item, max(t) + 1 AS n FROM panel GROUP BY 1)")
