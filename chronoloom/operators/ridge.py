@@ -199,3 +199,53 @@ def horizon_ridge(fitting: DataFrame, queries: DataFrame, f: int, alpha: float,
     ranked = fitting.withColumn("_r", F.dense_rank().over(W.partitionBy("query_id").orderBy(F.desc("tick")))).where(F.col("_r") <= most)
     stats = statistics(ranked, ["query_id", "h"], f).where(F.col("windows") >= least)
     return solve(stats, f, alpha, "windows").select("query_id", "h", "beta", "windows").join(queries.select("query_id"), "query_id", "left_semi")
+
+
+def nested(rows: DataFrame, kind: str, k: int) -> DataFrame:
+    """rows (vanilla, covariate, neighbours and own: the neighbours' actual futures and the forecasts made there, in order of distance) with x, the features of a nested selection."""
+    parts = {"covariate": ["vanilla", "covariate"], "targets": ["vanilla"], "full": ["vanilla", "covariate"]}[kind]
+    x = F.array(*parts)
+    if kind != "covariate":
+        x = F.concat(x, F.slice("neighbours", 1, k))
+    return rows.withColumn("x", F.concat(x, F.slice("own", 1, k)) if kind == "full" else x)
+
+
+def width(kind: str, k: int) -> int:
+    return {"covariate": 2, "targets": 1 + k, "full": 2 + 2 * k}[kind]
+
+
+def statistics_grid(rows: DataFrame, keys: list[str], kinds: tuple[str, ...], ks: tuple[int, ...]) -> dict[tuple[str, int], DataFrame]:
+    """Statistics for each kind and number of neighbours, of rows that have that many."""
+    return {(kind, k): statistics(nested(rows.where(F.size("neighbours") >= k), kind, k), keys, width(kind, k)) for kind in kinds for k in ks}
+
+
+def fit_family(train: DataFrame, validation: DataFrame, task: list[str], horizon: int, stride: int, ks: tuple[int, ...] = KS, alphas: tuple[float, ...] = ALPHAS, kinds: tuple[str, ...] = ("covariate", "targets", "full"), by_variate: bool = False, b: Bootstrap = Bootstrap()) -> DataFrame:
+    """The choice of each task among vanilla, the Bayes mixture and ridges of each kind, K and penalty.
+
+    Both frames have task, item, channel, window, tick, h, scale, y, residual, vanilla, covariate, neighbours, own.
+    Candidates are fitted on train and judged on validation, each in a pass of its own, so both had better be
+    written or persisted; a row with too few neighbours keeps vanilla.
+    """
+    keys = [*task, "item", "channel"] if by_variate else task
+    s = F.greatest("scale", F.lit(1e-8))
+    loss = lambda f: F.avg(F.pow((F.col("y") - F.col(f)) / s, 2))
+    wins = train.groupBy(*task, "item", "channel", "window").agg(loss("covariate").alias("candidate"), loss("vanilla").alias("vanilla"))
+    evidence = win_evidence(wins, task).select(*task, "p")
+
+    def judged(rows: DataFrame, method: str, k: int, alpha: float | None) -> DataFrame:
+        return date_losses(rows, task).withColumns({"method": F.lit(method), "k": F.lit(k), "alpha": F.lit(alpha).cast("double")})
+
+    losses = [judged(validation.withColumn("yhat", F.col("vanilla")), "vanilla", 0, None)]
+    losses.append(judged(validation.join(evidence, task).withColumn("yhat", mixture(F.col("p"), F.col("vanilla"), F.col("covariate"))), "bayes", 0, None))
+    for (kind, k), stats in statistics_grid(train, keys, kinds, ks).items():
+        if kind == "covariate" and k != ks[0]:
+            continue
+        for alpha in alphas:
+            beta = solve(stats, width(kind, k), alpha).select(*keys, "beta")
+            rows = nested(validation, kind, k).join(beta, keys, "left")
+            usable = (F.size("neighbours") >= k) & F.col("beta").isNotNull()
+            losses.append(judged(rows.withColumn("yhat", predict(F.col("vanilla"), F.col("x"), F.col("beta"), usable)), f"{kind}_ridge", k, alpha))
+    every = losses[0]
+    for one in losses[1:]:
+        every = every.unionByName(one)
+    return choose(every, task, horizon, stride, b)

@@ -289,3 +289,42 @@ def w17_sliding_statistics(spark, sf_dir):
     f = series.forward_fill(hourly_panel(spark, sf_dir)).where("channel = 0")
     w = W.partitionBy("item").orderBy("t").rowsBetween(-23, 0)
     return f.withColumn("s", F.avg("filled").over(w)).where(F.col("t") >= HOURS - 24).groupBy("item").agg(F.count("*").alias("n"), F.avg("s").alias("mean"))
+
+
+def family_rows(spark, sf_dir) -> DataFrame:
+    """Design rows with the two series' futures nearest in name as neighbours, and their naive forecasts."""
+    d = design(spark, sf_dir).withColumnRenamed("origin", "tick").withColumn("covariate", F.get("x", F.lit(1))).drop("x")
+    both = d.groupBy("channel", "tick", "h").agg(F.array_sort(F.collect_list(F.struct("item", "y", "vanilla"))).alias("all"))
+    rows = d.join(both, ["channel", "tick", "h"]).withColumn("near", F.slice(F.filter("all", lambda z: z["item"] != F.col("item")), 1, 2))
+    rows = rows.withColumns({"neighbours": F.transform("near", lambda z: z["y"]), "own": F.transform("near", lambda z: z["vanilla"]), "task": F.lit("events/H")})
+    return rows.drop("all", "near")
+
+
+@query()
+def g14_method_family(spark, sf_dir):
+    rows = family_rows(spark, sf_dir).persist()  # read once for each candidate
+    first = rows.agg(F.min("tick")).first()[0]
+    cut = F.col("tick") < F.lit(first) + 2 * H
+    judged = rows.where(~cut).withColumn("tick", F.col("tick") + F.floor(F.col("h") / 4))
+    return ridge.fit_family(rows.where(cut), judged, ["task"], H, 23, ks=(1, 2), alphas=(1e-2,))
+
+
+@query(DESIGN + ", o AS (SELECT a.item, a.channel, a.win, a.h, a.scale, a.residual, a.v, (SELECT min(b.item) FROM design b WHERE b.channel = a.channel AND b.origin = a.origin AND b.h = a.h AND b.item <> a.item) AS near FROM design a), k1 AS (SELECT o.channel, sum(o.v / s * o.v / s) AS x00, sum(o.v / s * n.y / s) AS x01, sum(n.y / s * n.y / s) AS x11, sum(o.v / s * o.residual / s) AS y0, sum(n.y / s * o.residual / s) AS y1, count(*) AS n FROM (SELECT *, greatest(scale, 1e-8) AS s FROM o) o JOIN design n ON n.item = o.near AND n.channel = o.channel AND n.win = o.win AND n.h = o.h GROUP BY 1) SELECT channel, " + ", ".join(r(n) + f" AS {n}" for n, _, _ in _G) + ", n AS rows_ FROM k1")
+def g9_statistics_grid(spark, sf_dir):
+    one = ridge.statistics_grid(family_rows(spark, sf_dir), ["channel"], ("targets",), (1,))["targets", 1]
+    return one.select("channel", *[F.get(c, F.lit(i)).alias(n) for n, c, i in _G], F.col("rows").alias("rows_"))
+
+
+@query(REPS + PAIRS + " SELECT k, query_id, count(*) AS neighbours, " + r("max(euclid)") + " AS farthest FROM near, (SELECT unnest([1, 2, 3]) AS k) WHERE rank <= k GROUP BY 1, 2")
+def s2_prefix_neighbours(spark, sf_dir):
+    near = retrieval.nearest(pairs(spark, sf_dir), K)
+    each = near.select("*", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).where("rank <= k")
+    return each.groupBy("k", "query_id").agg(F.count("*").alias("neighbours"), F.max("distance").alias("farthest"))
+
+
+@query(PANEL + f"SELECT w.item, w.origin, count(*) AS n, " + r("avg(p.filled)") + f" AS mean FROM wins w JOIN filled p ON p.item = w.item AND p.channel = 0 AND p.t >= w.origin - 512 AND p.t < w.origin + {H} GROUP BY 1, 2")
+def c15_long_context_windows(spark, sf_dir):
+    refs = prepared(spark, sf_dir).where("channel = 0 and split = 'test'").drop("split", "tick")
+    m = windows.materialise(refs, series.arrays(series.forward_fill(hourly_panel(spark, sf_dir)), "filled"), 512, H)
+    whole = F.concat("context", "target")
+    return m.select("item", "origin", F.size(whole).cast("long").alias("n"), vectors.mean(whole).alias("mean"))

@@ -208,3 +208,21 @@ def l_tumbling_audit(spark, sf_dir):
     from ..streaming.events import tumbling_audit
 
     return tumbling_audit(table(spark, sf_dir, "events"))
+
+
+@query("SELECT p_partkey AS id, p_size AS size, p_retailprice AS price FROM part WHERE p_size % 7 <> 0")
+def b11_required_features(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("size"), F.col("p_retailprice").alias("price"))
+    return p.na.drop(subset=["size"])
+
+
+@query("SELECT o_orderkey AS prepared, l_partkey AS model FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 = 0 AND l_quantity > 40 AND l_linenumber = 1")
+def j10_point_lookup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("prepared"))
+    li = table(spark, sf_dir, "lineitem").where("l_quantity > 40 and l_linenumber = 1").select(F.col("l_orderkey").alias("prepared"), F.col("l_partkey").alias("model"))
+    return o.join(li, "prepared")
+
+
+@query("SELECT l_suppkey AS item, l_returnflag AS channel, count(*) AS windows, min(l_orderkey) AS first_ref, max(l_orderkey) AS last_ref FROM lineitem GROUP BY 1, 2")
+def j16_group_assembly(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("item"), F.col("l_returnflag").alias("channel")).agg(F.count("*").alias("windows"), F.min("l_orderkey").alias("first_ref"), F.max("l_orderkey").alias("last_ref"))
