@@ -322,3 +322,28 @@ def test_streams(spark, tmp_path):
     stream.upsert_cache(stream.read(spark, f"{tmp_path}/in", "user_id long, ts timestamp, event_type string, value double"), f"{tmp_path}/cache", ["user_id"], f"{tmp_path}/cp2")
     assert spark.read.parquet(f"{tmp_path}/cache").count() == 2
     assert stream.sessions(spark.read.parquet(f"{tmp_path}/in")).count() == 3
+
+
+@pytest.mark.parametrize("by_variate", [False, True])
+def test_family_prefers_what_fits(spark, by_variate):
+    rng = np.random.default_rng(11)
+    rows = []
+    for item in "ab":
+        for window in range(12):
+            for h in range(6):
+                vanilla, covariate, near = (float(x) for x in rng.normal(size=3))
+                y = vanilla + 0.8 * near + 0.01 * float(rng.normal())
+                rows.append(("t", item, 0, window, window, h, 1.0, y, y - vanilla, vanilla, covariate, [near] if window != 11 else [], [0.0] if window != 11 else []))
+    df = spark.createDataFrame(rows, "task string, item string, channel int, window int, tick long, h int, scale double, y double, residual double, vanilla double, covariate double, neighbours array<double>, own array<double>")
+    got = ridge.fit_family(df.where("window < 6"), df.where("window >= 6"), ["task"], 6, 6, ks=(1,), alphas=(1e-3,), by_variate=by_variate, b=ridge.Bootstrap(replications=50)).collect()
+    by = {r.method: r for r in got}
+    assert set(by) == {"vanilla", "bayes", "covariate_ridge", "targets_ridge", "full_ridge"}
+    assert by["targets_ridge"].mean_loss < 0.5 * by["vanilla"].mean_loss and sum(r.selected for r in got) == 1
+
+
+def test_command_line_lists_queries(capsys, monkeypatch):
+    from chronoloom import __main__
+
+    monkeypatch.setattr("sys.argv", ["chronoloom", "list"])
+    __main__.main()
+    assert "g1_window_metrics" in capsys.readouterr().out
