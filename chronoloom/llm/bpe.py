@@ -43,6 +43,8 @@ from .common import rows_by_key
 LEAF = 1 << 14
 #: Characters on either side of a join in its first window.
 WINDOW = 32
+#: Texts encoded or decoded at once.
+ROWS = 512
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,13 +204,30 @@ def _packed(ids: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """(id_col, ids) for each row of docs; path names the tokenizer file on every executor."""
+def _decoded(c: Codec, packed: pa.Array) -> pa.Array:
+    """The texts of rows of packed ids."""
+    rows = [x or b"" for x in packed.to_pylist()]
+    texts = [pa.array([], pa.large_string())]
+    for k in range(0, len(rows), ROWS):
+        some = rows[k : k + ROWS]
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in some])]).astype(np.int64)
+        texts.append(c.decode_all(np.frombuffer(b"".join(some), "<u4"), ends))
+    return pa.concat_arrays(texts).cast(pa.string())
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, decoded: bool = False) -> DataFrame:
+    """(id_col, ids) for each row of docs, and with decoded the text that the ids decode to; path names the tokenizer file on every executor."""
+    names = [id_col, "ids"] + ["decoded"] * decoded
+
+    def out(c: Codec, keys: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, ids] + ([_decoded(c, ids)] if decoded else []), names=names)
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _packed([c.encode(t or "") for t in batch.column(1).to_pylist()])], names=[id_col, "ids"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                yield out(c, batch.column(0), _packed([c.encode(t or "") for t in batch.column(1).to_pylist()]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,19 +251,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             first = {n: i for i, n in reversed(list(enumerate(numbers)))}
             parts = [(rows.column(3)[first[n]].as_py(), np.frombuffer(rows.column(4)[first[n]].as_py(), "<u4")) for n in sorted(first)]
             copies = numbers.count(0)
-            ids = rows.column(0).combine_chunks().slice(0, 1)
-            out = _packed([join_all(c, parts)])
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids] * copies), pa.concat_arrays([out] * copies)], names=[id_col, "ids"])
+            key = rows.column(0).combine_chunks().slice(0, 1)
+            yield out(c, pa.concat_arrays([key] * copies), pa.concat_arrays([_packed([join_all(c, parts)])] * copies))
 
     kinds = dict(docs.dtypes)
     given = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > leaf
     ident = f"`{id_col}` {kinds[id_col]}"
-    short = given.where(~long).mapInArrow(direct, f"{ident}, ids binary")
+    result = f"{ident}, ids binary" + ", decoded string" * decoded
+    short = given.where(~long).mapInArrow(direct, result)
     pieces = given.where(long).select(id_col, F.sha2("text", 256).alias("digest"), "text").mapInArrow(cut, f"{ident}, digest string, part int, piece string")
     encoded = pieces.repartition(id_col, "digest", "part").mapInArrow(leaves, f"{ident}, digest string, part int, piece string, ids binary")
     gathered = encoded.repartition(id_col, "digest").sortWithinPartitions(id_col, "digest", "part")
-    return short.unionByName(gathered.mapInArrow(joined, f"{ident}, ids binary"))
+    return short.unionByName(gathered.mapInArrow(joined, result))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -254,15 +273,6 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            rows = [x or b"" for x in batch.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int64)
-            step = 512
-            texts = []
-            for k in range(0, len(rows), step):
-                some = rows[k : k + step]
-                part = ends[k : k + len(some) + 1] - ends[k]
-                texts.append(c.decode_all(np.frombuffer(b"".join(some), "<u4"), part))
-            decoded = pa.concat_arrays(texts) if texts else pa.array([], pa.large_string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.string())], names=[id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(c, batch.column(1))], names=[id_col, "ids", "decoded"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kinds[id_col]}, ids binary, decoded string")

@@ -67,8 +67,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
-    path = tokenizer_path()
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    both = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

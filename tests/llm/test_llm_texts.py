@@ -68,6 +68,8 @@ def test_encode_and_decode_rows(spark):
     library = Tokenizer.from_file(tokenizer_path())
     want = sorted((str(i), np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t or "") for i, t, _ in rows)
     assert sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in got) == want
+    at_once = bpe.encode(docs, tokenizer_path(), leaf=5000, decoded=True).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in at_once) == want
     assert bpe.encode(docs.limit(0), tokenizer_path()).count() == 0
 
 
