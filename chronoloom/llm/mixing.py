@@ -80,14 +80,14 @@ def numbered(rows: DataFrame, group: str, key: str, sizes: DataFrame) -> DataFra
     return placed.withColumn("ordinal", F.col("_own") + F.col("_base")).drop("_hash", "_chunk", "_own", "_base")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs with columns source_block (from 0 in its source), slot and position (from 0, without gaps)."""
-    columns = [c for c in docs.columns if c not in ("source_block", "slot", "position")]
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """docs with columns source_block and ordinal (from 0 in its source) and slot; documents of a slot follow by ordinal."""
+    columns = [c for c in docs.columns if c not in ("source_block", "slot", "ordinal")]
     keyed = docs.select(*columns, F.struct(F.col(source_col).isNull(), F.col(source_col)).cast("struct<a: boolean, b: string>").cast("string").alias("_source"))
     counted = docs.groupBy(source_col).agg(F.count("*").alias("rows")).orderBy(source_col).collect()  # a row for each source of the mixture
     if not counted:
         empty = F.lit(None).cast("long")
-        return docs.select(*columns, empty.alias("source_block"), empty.alias("slot"), empty.alias("position"))
+        return docs.select(*columns, *[empty.alias(c) for c in ("source_block", "slot", "ordinal")])
     names = [r[0] for r in counted]
     if weights is not None and set(weights) != set(names):
         raise ValueError(f"weights must name the sources {names}")
@@ -105,14 +105,21 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_
     rows = rows.join(F.broadcast(table.select("_source", "parts", "pattern")), "_source")
     number = F.floor(F.col("ordinal") / block)
     rows = rows.withColumn("source_block", number).withColumn("slot", F.floor(number / F.col("parts")) * period + F.get("pattern", F.pmod(number, F.col("parts")).cast("int")))
-    rows = rows.drop("_source", "parts", "pattern")
+    return rows.select(*columns, "source_block", "slot", "ordinal")
+
 
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """docs with columns source_block (from 0 in its source), slot and position (from 0, without gaps)."""
+    spark = docs.sparkSession
+    columns = [c for c in docs.columns if c not in ("source_block", "slot", "position")]
+    rows = scheduled(docs.select(*[c for c in columns if c != "ordinal"], *[F.col(c).alias("_given") for c in columns if c == "ordinal"]), weights, source_col, key_col, block, period)
     # Documents of earlier slots, by ranges of slots, a few for each shuffle partition.
-    last = max(-(-r.rows // block) * period // p + period for r, p in zip(counted, parts, strict=True))
-    width = max(1, -(-last // (16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    last = rows.agg(F.max("slot")).first()[0] or 0
+    width = max(1, -(-(last + 1) // (16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     rows = rows.withColumn("_range", F.floor(F.col("slot") / width))
     ranges = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = F.row_number().over(W.partitionBy("_range").orderBy("slot", "ordinal")) - 1
     placed = rows.withColumn("_within", within).join(F.broadcast(ranges), "_range")  # as many rows as ranges
-    return placed.withColumn("position", F.col("_within") + F.col("_base")).select(*columns, "source_block", "slot", "position")
+    given = [F.col("_given").alias(c) if c == "ordinal" else F.col(c) for c in columns]
+    return placed.withColumn("position", F.col("_within") + F.col("_base")).select(*given, "source_block", "slot", "position")
