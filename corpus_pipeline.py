@@ -33,14 +33,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    mixed = mixing.scheduled(docs)
+    order = ["slot", "ordinal"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids (four bytes each, little-endian) and the digest of what they decode to."""
-    path = tokenizer_path()
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.encode(docs, tokenizer_path(), decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
