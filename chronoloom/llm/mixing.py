@@ -1,28 +1,42 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are dealt into blocks.  With weight w, its j-th block (from 1) is released at
-slot floor((j-1)/w) and due by slot ceil(j/w); in every slot the released block of earliest deadline
-goes.  With weights of whole parts of PERIOD that sum to it, every deadline is met, so that in each
-prefix a source, while it lasts, is less than one block from its weight times the slots.  The schedule repeats after
-PERIOD slots with no lag left over: it is worked out for one period, in one row per call by a fold over
-its slots, and block j of a source with a parts goes to slot (j div a) * PERIOD + pattern[j mod a].
-Slots of a source that has run out stay empty; positions count the documents, so nothing is dropped.
-
-All of it is DataFrame functions.  Documents of a source are numbered in three levels (about CHUNK
-rows, CHUNK chunks, chunks of chunks), so that no task holds a whole source, however large.
+Each source's documents are dealt into blocks.  With weight w (of all weights' sum), its j-th block
+(from 1) is released at slot floor((j-1)/w) and due by slot ceil(j/w); in every slot the released block
+of earliest deadline goes.  Releases and deadlines are whole-number arithmetic on the weights as given
+(a float is the rational number it stands for), over all blocks there are, so every deadline is met and
+in each prefix a source, while it lasts, is less than one block from its weight times the slots, however
+long the input.  Slots of a source that has run out stay empty; positions count the documents, so nothing
+is dropped.
+
+The schedule is worked out on the driver, a step for each block that exists (a heap; empty slots cost
+nothing), and goes to the documents as 16 bytes a block, a byte a document: by broadcast up to
+BROADCAST_BLOCKS, beyond that by a join on runs of RUN blocks.  All else is DataFrame functions.
+Documents of a source are numbered in three levels (about CHUNK rows, CHUNK chunks, chunks of chunks), so
+that no task holds a whole source, however large.
+
+Only if a period is asked for are weights rounded, to whole parts of it that sum to it (parts_of), and
+the bound holds for those.
 
 Defined results: a null source is a source of its own; documents that repeat each have a position; a
-source without a given weight, or weights that do not name all sources, is an error; the order within
-a source is by a hash of the key; other columns are passed on; no rows give no rows.
+source without a given weight, or weights that do not name all sources, is an error, as is a weight so
+small that a slot passes 2^63; the order within a source is by a hash of the key; other columns are
+passed on; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, CHUNK = 16, 2048, 1024
+BLOCK, CHUNK = 16, 1024
+#: Blocks in a row of the schedule's table, and blocks (or sources) that are broadcast at most.
+RUN, BROADCAST_BLOCKS = 4096, 2_000_000
 #: Where no weights are given, they are in proportion to the sources' sizes to this power.
 TEMPERATURE = 0.5
 
@@ -40,7 +54,7 @@ def parts_of(weights: list[float], period: int) -> list[int]:
 
 
 def schedule(parts: Column, period: int) -> Column:
-    """The source (index into parts) of every slot of a period: earliest deadline first among released blocks."""
+    """The source (index into parts) of every slot of a period, as a column: earliest deadline first among released blocks."""
     n = F.size(parts)
     start = F.struct(F.transform(parts, lambda a: F.lit(0)).alias("done"), F.expr("cast(array() as array<int>)").alias("slots"))
 
@@ -65,10 +79,48 @@ def schedule(parts: Column, period: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda s: s["slots"])
 
 
-def numbered(rows: DataFrame, group: str, key: str, sizes: DataFrame) -> DataFrame:
-    """rows with column ordinal, from 0 in each group, in three levels of prefix sums; sizes has (group, rows), a row for each group."""
+def exact_parts(weights: list) -> list[int]:
+    """Whole numbers in the very proportion of weights (whole, rational or floating point numbers)."""
+    if any(not 0 < w < math.inf for w in weights):
+        raise ValueError("weights must be positive and finite")
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*[w.denominator for w in exact])
+    whole = [w.numerator * (common // w.denominator) for w in exact]
+    divisor = math.gcd(*whole)
+    return [w // divisor for w in whole]
+
+
+def slots_of(parts: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """(slot, source) of every block in the order they go; source i has blocks[i] of them and weight parts[i] of the parts' sum."""
+    total, out = sum(parts), []
+    done = [0] * len(parts)
+    ready = [(-(-total // a), i) for i, (a, n) in enumerate(zip(parts, blocks, strict=True)) if n]
+    later: list[tuple[int, int]] = []
+    heapq.heapify(ready)
+    t = 0
+    while ready or later:
+        if not ready:
+            t = max(t, later[0][0])
+        while later and later[0][0] <= t:
+            i = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // parts[i]), i))
+        i = heapq.heappop(ready)[1]
+        out.append((t, i))
+        t += 1
+        done[i] += 1
+        if done[i] < blocks[i]:
+            heapq.heappush(later, (done[i] * total // parts[i], i))
+    return out
+
+
+def _few(frame: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(frame) if rows <= BROADCAST_BLOCKS else frame.hint("shuffle_hash")
+
+
+def numbered(rows: DataFrame, group: str, key: str, sizes: DataFrame, groups: int) -> DataFrame:
+    """rows with column ordinal, from 0 in each group, in three levels of prefix sums; sizes has (group, rows), a row for each of the groups."""
     width = F.greatest(F.ceil(F.col("_rows") / CHUNK), F.lit(1)).cast("long")
-    hashed = rows.join(F.broadcast(sizes.withColumnRenamed("rows", "_rows")), group).withColumn("_hash", F.xxhash64(key)).withColumn("_chunk", F.pmod(F.col("_hash"), width)).drop("_rows")
+    hashed = rows.join(_few(sizes.withColumnRenamed("rows", "_rows"), groups), group).withColumn("_hash", F.xxhash64(key)).withColumn("_chunk", F.pmod(F.col("_hash"), width)).drop("_rows")
     chunks = hashed.groupBy(group, "_chunk").agg(F.count("*").alias("_n")).withColumn("_over", F.floor(F.col("_chunk") / CHUNK))
     over = chunks.groupBy(group, "_over").agg(F.sum("_n").alias("_m"))
     before = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -80,46 +132,38 @@ def numbered(rows: DataFrame, group: str, key: str, sizes: DataFrame) -> DataFra
     return placed.withColumn("ordinal", F.col("_own") + F.col("_base")).drop("_hash", "_chunk", "_own", "_base")
 
 
-def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs with columns source_block and ordinal (from 0 in its source) and slot; documents of a slot follow by ordinal."""
-    columns = [c for c in docs.columns if c not in ("source_block", "slot", "ordinal")]
-    keyed = docs.select(*columns, F.struct(F.col(source_col).isNull(), F.col(source_col)).cast("struct<a: boolean, b: string>").cast("string").alias("_source"))
-    counted = docs.groupBy(source_col).agg(F.count("*").alias("rows")).orderBy(source_col).collect()  # a row for each source of the mixture
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
+    """docs with columns source_block (from 0 in its source), slot and position (from 0, without gaps); documents of a slot follow by their order in the source."""
+    added = ["source_block", "slot", "position"]
+    columns = [c for c in docs.columns if c not in added]
+    label = F.struct(F.col(source_col).isNull(), F.col(source_col)).cast("struct<a: boolean, b: string>").cast("string").alias("_source")
+    keyed = docs.select(*[F.col(c).alias("_given") if c == "ordinal" else F.col(c) for c in columns], label)
+    counted = docs.groupBy(source_col).agg(F.count("*").alias("rows")).select(source_col, "rows", label).orderBy(source_col).collect()  # a row for each source of the mixture
     if not counted:
-        empty = F.lit(None).cast("long")
-        return docs.select(*columns, *[empty.alias(c) for c in ("source_block", "slot", "ordinal")])
+        return docs.select(*columns, *[F.lit(None).cast("long").alias(c) for c in added])
     names = [r[0] for r in counted]
     if weights is not None and set(weights) != set(names):
         raise ValueError(f"weights must name the sources {names}")
     target = [weights[s] if weights is not None else r.rows**TEMPERATURE for s, r in zip(names, counted, strict=True)]
-    parts = parts_of(target, period)
-
-    spark = docs.sparkSession
-    quote = lambda s: F.struct(F.lit(s is None), F.lit(s).cast("string")).cast("struct<a: boolean, b: string>").cast("string")
-    table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), quote(s).alias("_source"), F.lit(int(r.rows)).cast("long").alias("rows"), F.lit(p).alias("parts")) for i, (s, r, p) in enumerate(zip(names, counted, parts, strict=True))])).alias("s")).select("s.*")
-    slots = spark.range(1).select(F.posexplode(schedule(F.array(*map(F.lit, parts)), period)).alias("within", "i"))
-    pattern = slots.groupBy("i").agg(F.sort_array(F.collect_list("within")).alias("pattern"))  # period numbers in all
-    table = table.join(F.broadcast(pattern), "i")
-
-    rows = numbered(keyed, "_source", key_col, table.select("_source", "rows"))
-    rows = rows.join(F.broadcast(table.select("_source", "parts", "pattern")), "_source")
-    number = F.floor(F.col("ordinal") / block)
-    rows = rows.withColumn("source_block", number).withColumn("slot", F.floor(number / F.col("parts")) * period + F.get("pattern", F.pmod(number, F.col("parts")).cast("int")))
-    return rows.select(*columns, "source_block", "slot", "ordinal")
-
-
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs with columns source_block (from 0 in its source), slot and position (from 0, without gaps)."""
+    parts = parts_of(target, period) if period else exact_parts(target)
+
+    # The slot of every block, and the documents that go before it.
+    slots, before, last = [[] for _ in names], [[] for _ in names], 0
+    for t, i in slots_of(parts, [-(-r.rows // block) for r in counted]):
+        slots[i].append(t)
+        before[i].append(last)
+        last += min(block, counted[i].rows - block * (len(slots[i]) - 1))
+    if max(s[-1] for s in slots) >= 2**63:
+        raise ValueError("a weight is too small: its slots pass 2^63")
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in ("source_block", "slot", "position")]
-    rows = scheduled(docs.select(*[c for c in columns if c != "ordinal"], *[F.col(c).alias("_given") for c in columns if c == "ordinal"]), weights, source_col, key_col, block, period)
-    # Documents of earlier slots, by ranges of slots, a few for each shuffle partition.
-    last = rows.agg(F.max("slot")).first()[0] or 0
-    width = max(1, -(-(last + 1) // (16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    rows = rows.withColumn("_range", F.floor(F.col("slot") / width))
-    ranges = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    within = F.row_number().over(W.partitionBy("_range").orderBy("slot", "ordinal")) - 1
-    placed = rows.withColumn("_within", within).join(F.broadcast(ranges), "_range")  # as many rows as ranges
+    runs = [(r["_source"], k // RUN, slots[i][k : k + RUN], before[i][k : k + RUN]) for i, r in enumerate(counted) for k in range(0, len(slots[i]), RUN)]
+    kinds = [("_source", pa.string()), ("_run", pa.int64()), ("_slots", pa.list_(pa.int64())), ("_before", pa.list_(pa.int64()))]
+    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*runs, strict=True), kinds, strict=True)], names=[n for n, _ in kinds]))
+    sizes = spark.createDataFrame(pa.table({"_source": [r["_source"] for r in counted], "rows": pa.array([r.rows for r in counted], pa.int64())}))
+
+    rows = numbered(keyed, "_source", key_col, sizes, len(counted))
+    rows = rows.withColumn("source_block", F.floor(F.col("ordinal") / block)).withColumn("_run", F.floor(F.col("source_block") / RUN))
+    rows = rows.join(_few(table, sum(map(len, slots))), ["_source", "_run"])
+    at = lambda c: F.get(c, F.pmod("source_block", F.lit(RUN)).cast("int"))
     given = [F.col("_given").alias(c) if c == "ordinal" else F.col(c) for c in columns]
-    return placed.withColumn("position", F.col("_within") + F.col("_base")).select(*given, "source_block", "slot", "position")
+    return rows.select(*given, "source_block", at("_slots").alias("slot"), (at("_before") + F.pmod("ordinal", F.lit(block))).alias("position"))

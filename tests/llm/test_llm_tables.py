@@ -147,6 +147,50 @@ def test_mix_keeps_every_document_and_the_weights(spark):
         mixing.mix(docs, {"hot": 1.0})
 
 
+def plain_slots(weights, blocks):
+    """Earliest deadline first, slot by slot, in rational numbers."""
+    done, out, t = [0] * len(weights), {}, 0
+    share = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    while any(d < n for d, n in zip(done, blocks, strict=True)):
+        ready = [(math.ceil((done[i] + 1) / w), i) for i, w in enumerate(share) if done[i] < blocks[i] and math.floor(done[i] / w) <= t]
+        if ready:
+            i = min(ready)[1]
+            out[i, done[i]] = t
+            done[i] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1, 1, 1], [0.5] + [0.01] * 50, [5, 3, 1, 1], [1], [0.9999, 0.0001], [math.sqrt(n) for n in (3000, *[300] * 19)], [Fraction(1, 3), 2, 0.1]])
+def test_exact_slots_stay_within_a_block_of_the_weights_given(weights):
+    blocks = [300 if i == 0 else 7 + i for i in range(len(weights))]
+    got = mixing.slots_of(mixing.exact_parts(weights), blocks)
+    assert [t for t, _ in got] == sorted({t for t, _ in got})
+    done, slots = [0] * len(weights), {}
+    for t, i in got:
+        slots[i, done[i]] = t
+        done[i] += 1
+    if max(slots.values()) < 10_000:
+        assert slots == plain_slots(weights, blocks)
+    total = sum(map(Fraction, weights))
+    for (i, b), t in slots.items():
+        w = Fraction(weights[i]) / total
+        assert -1 < b - t * w < 1 and -1 < b + 1 - (t + 1) * w < 1
+
+
+def test_mix_holds_the_weights_given_over_long_inputs_and_many_sources(spark):
+    # 1,000 documents a block each; rounded to parts of 2,048 the rare source would lie five times too near.
+    rows = [(i, "rare" if i % 100 == 0 else "hot") for i in range(3000)]
+    weights = {"hot": 0.9999, "rare": 0.0001}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1).collect()
+    assert sorted(r.position for r in got) == list(range(3000))
+    for r in got:
+        w = Fraction(weights[r.source]) / sum(map(Fraction, weights.values()))
+        assert math.floor(r.source_block / w) <= r.slot < math.ceil((r.source_block + 1) / w)
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2500).alias("source"))
+    assert sorted(r.position for r in mixing.mix(many).collect()) == list(range(6000))
+
+
 def test_warc_round_trip(spark):
     big, other = "é" * 600, "b" * 1000
     rows = [(1, "http://a/\r\n1", big), (5, "http://a/5", big), (3, None, big), (2, "http://a/2", "small"), (4, "u", "small"), (6, "u", None), (7, "u", other), (8, "u", "x\r\n\r\nWARC/1.1\r\n" * 200), (7, "u", other), (9, "u", other[:-1])]
