@@ -2,12 +2,15 @@
 
 Quality classifier, near-duplicates, mixing of sources, BPE encoding and decoding: each stage takes
 what the one before kept, whole.  All but the last return the columns they are given; the order in
-which mixing writes its rows is its decision, and the last stage reads them in it.
+which mixing writes its rows is its decision.  Readers of its files do not keep that order, so the last
+stage reads each row's place from the files (their numbers and the rows' numbers within) and gives it as
+position, from 0 without gaps: the result ordered by position is the mixture.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, mixing, quality
@@ -37,10 +40,21 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 
+def with_position(docs: DataFrame) -> DataFrame:
+    """docs, as read from Parquet files, with column position: the order in which its rows were written."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    placed = docs.select("*", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("name")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1))
+    files = files.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each file
+    return placed.join(F.broadcast(files), "_file").select(*docs.columns, (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids (four bytes each, little-endian) and the digest of what they decode to."""
-    both = bpe.encode(docs, tokenizer_path(), decoded=True)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Each document's place in the order written, token ids (four bytes each, little-endian) and the digest of what they decode to."""
+    keyed = with_position(docs).select(F.struct("doc_id", "position").alias("key"), "text")
+    both = bpe.encode(keyed, tokenizer_path(), id_col="key", decoded=True)
+    return both.select("key.doc_id", "key.position", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
@@ -67,3 +69,34 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
         assert bytes(r.ids) == ids.tobytes() and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256((texts[i] or "").encode()).hexdigest()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(final)
+
+
+def test_run_keeps_the_mixture_to_the_end(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from chronoloom.llm import mixing
+
+    rng = random.Random(5)
+    docs = [(i, words(rng, 9000 if i % 97 == 0 else 20), rng.choice(["hot", "hot", "hot", "b", None])) for i in range(600)] + [(None, "no id", "b")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[2:])
+    got = {r.position: r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(docs)))
+
+    # A plain schedule: blocks of 16 by earliest deadline among those released, sources of the root of their size.
+    source = {i: s for i, _, s in docs}
+    names = sorted(set(source.values()), key=lambda s: (s is not None, s))
+    left = Counter(s for _, _, s in docs)
+    share = {s: Fraction(left[s] ** 0.5) / sum(Fraction(n**0.5) for n in left.values()) for s in names}
+    done, want, t = Counter(), [], 0
+    while +left:
+        ready = [(math.ceil((done[s] + 1) / share[s]), k, s) for k, s in enumerate(names) if left[s] and math.floor(done[s] / share[s]) <= t]
+        if ready:
+            s = min(ready)[2]
+            n = min(mixing.BLOCK, left[s])
+            want += [s] * n
+            left[s] -= n
+            done[s] += 1
+        t += 1
+    assert [source[got[k]] for k in range(len(docs))] == want
+    placed = {r.position: r.doc_id for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == placed
