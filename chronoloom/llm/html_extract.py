@@ -53,7 +53,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head button option datalist".split())
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Silent elements that cannot hold an article or main, so that one ends them; the first two end at any block-level tag.
+NARROW = ("svg", "math", "button", "select", "option", "optgroup", "datalist")
+#: Elements of svg and math that hold html.
+EMBEDDING = frozenset(["foreignobject", "desc", "annotation-xml"])
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table article section div body".split())
 MAIN = frozenset(["article", "main"])
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
@@ -97,6 +101,37 @@ def _opened(tag: str, attributes: str, parent: Node, depth: int) -> Node:
     return Node(tag, f"{parent.path}>{label}" if depth < DEPTH else parent.path, noise or parent.noise, tag in MAIN or parent.main)
 
 
+def _hush(hidden: list[str], tag: str, closing: bool, closed: bool) -> bool:
+    """Keeps hidden, the elements open from the outermost silent one on, at a tag; whether the tag is theirs."""
+    if closing:
+        if tag not in hidden:
+            return False
+        del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+        return True
+    # Implied ends: an option by the next one, a select by a control or table part, others by what they cannot hold.
+    if tag in ("option", "optgroup"):
+        ends = ("option",) if tag == "option" else ("option", "optgroup")
+        k = len(hidden)
+        while k and hidden[k - 1] != "select":
+            k -= 1
+            if hidden[k] in ends:
+                del hidden[k:]
+    elif "select" in hidden and tag in ("select", "input", "td", "th", "tr"):
+        del hidden[len(hidden) - 1 - hidden[::-1].index("select") :]
+        if tag in ("select", "input"):
+            return True
+    elif not any(t in EMBEDDING for t in hidden) and tag in BLOCKS:
+        narrow = NARROW if tag in MAIN else NARROW[:2]
+        k = next((k for k, t in enumerate(hidden) if t in narrow), -1)
+        if k >= 0 and not any(t in SILENT and t not in narrow for t in hidden[k:]):
+            del hidden[k:]
+    if not hidden and tag not in SILENT:
+        return False
+    if tag not in VOID and not closed:
+        hidden.append(tag)
+    return True
+
+
 def blocks(page: str | None) -> tuple[list[tuple[Node, tuple[Node, ...], str]], list[Node]]:
     """The text blocks of a page in order, each with its element and those around it, and all elements."""
     page = page or ""
@@ -123,22 +158,27 @@ def blocks(page: str | None) -> tuple[list[tuple[Node, tuple[Node, ...], str]],
     def pop_to(k: int) -> None:
         del stack[max(1, k) :]
 
-    at = silent = 0
+    at = 0
+    hidden: list[str] = []
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not silent:
+        if m.start() > at and not hidden:
             text(page[at : m.start()])
         at = m.end()
         tag = m.group(3)
         if tag is None:
             continue
         tag, closing = tag.lower(), m.group(2)
-        if tag in SILENT and tag != "head":
-            silent = max(0, silent + (-1 if closing else 1)) if not m.group(4).rstrip().endswith("/") else silent
+        if tag in ("html", "head", "body"):
+            flush()
+            if closing:
+                hidden.clear()
             continue
-        if silent or tag in ("html", "head", "body"):
-            if tag in ("html", "head", "body"):
-                flush()
+        if (hidden or tag in SILENT) and _hush(hidden, tag, bool(closing), m.group(4).rstrip().endswith("/")):
             continue
+        if hidden or tag in SILENT:  # an end tag from outside: it ends the silent elements in its element
+            if not any(n.tag == tag for n in stack[1:]):
+                continue
+            hidden.clear()
         if tag in BLOCKS:
             flush()
         if closing:
@@ -167,7 +207,7 @@ def blocks(page: str | None) -> tuple[list[tuple[Node, tuple[Node, ...], str]],
         if not m.group(4).rstrip().endswith("/") or tag in BLOCKS:
             stack.append(node)
         nodes.append(node)
-    if at < len(page) and not silent:
+    if at < len(page) and not hidden:
         text(page[at:])
     flush()
     return found, nodes

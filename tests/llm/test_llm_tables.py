@@ -47,6 +47,28 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><select><option>A<option>B</select></div><article><p>in</article>", "in"),
+        ("<select><optgroup><option>A<optgroup><option>B</select>after", "after"),
+        ("<div><button>Go</div><article><p>in</p></article>", "in"),
+        ("<button><span>Go</span><article><p>in</p></article>", "in"),
+        ("<div><svg><text>s</div><p>t", "t"),
+        ("<svg><g><p>t</p>", "t"),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>t", "t"),
+        ("<div><video>no<p>no</p></div><p>t", "t"),
+        ("<div><object><div>no</div>no</div><p>t", "t"),
+        ("<object><object>no</object>no<article>no</article></object>t", "t"),
+        ("<template><article>no</article></template>t", "t"),
+        ("<table><tr><td><select><option>A<td>t</table>", "t"),
+        ("</option></button></script>t", "t"),
+    ],
+)
+def test_silent_elements_end_where_they_do(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     pages = [(i, f"http://a.example/{i}", f"<body><div><p>Terms of this site apply</p></div><div class=c><p>own text {i}</p>" + "<p>more %d</p>" % (i * i) * (i % 3) + "</div></body>") for i in range(12)]
     pages += [(100, "http://b.example/x", "<body><div><p>Terms of this site apply</p></div></body>"), (101, None, None)]
