@@ -13,7 +13,10 @@ in which every node has
 
 A branch is removed if its importance is below LOW and at least PAGES pages of the host have it, or
 if its tag, role, class or id says that it is no part of an article (menus, page headers, footers,
-sidebars, notices, adverts, forms, comments).  Where a page has an article or main element, only what
+sidebars, notices, adverts, forms, comments).  Classes and ids are names of someone's choice, so their
+words do not count on an element that holds an article (not one within an article) or main, nor, inside one, on a heading or an
+element that holds an h1 (or, for words of headers, any heading); and if they leave a page without text,
+they do not count on that page at all.  Where a page has an article or main element, only what
 lies in one is kept, and running text and headings in it are kept however often they repeat, so that
 copies of an article on a host do not count as furniture.
 
@@ -30,7 +33,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -60,6 +63,7 @@ EMBEDDING = frozenset(["foreignobject", "desc", "annotation-xml"])
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table article section div body".split())
 MAIN = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table tbody thead tfoot tr td th b i em strong a span code br figure figcaption section article main".split())
@@ -67,6 +71,7 @@ NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|aside|menu\w*|nav|navbar\w*|navigation|breadcrumb\w*|footer\w*|masthead|topbar|header|page-header|site-header|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|comment|comments|commentlist|disqus|reply|replies|respond|widget\w*|toolbar|pagination|pager|search\w*)(?:$|[\s_-])",
     re.I,
 )
+HEADER_WORDS = re.compile(r"(?<![^\s_-])(?:page-header|site-header|header|masthead)(?![^\s_-])", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -80,25 +85,61 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "main", "noise", "path", "tag", "texts")
+    """noise: no part of an article by its tag, role or names or those around it; sure: without asking the names."""
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool) -> None:
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    __slots__ = ("children", "main", "named", "noise", "parent", "path", "sure", "tag", "texts")
+
+    def __init__(self, tag: str, path: str, sure: bool, main: bool, parent: "Node | None" = None, named: str = "") -> None:
+        self.tag, self.path, self.sure, self.noise, self.main = tag, path, sure, sure, main
+        self.parent, self.named = parent, named
         self.children: list[str] = []
         self.texts: list[str] = []
 
 
 def _opened(tag: str, attributes: str, parent: Node, depth: int) -> Node:
-    label, noise = tag, tag in NOISE_TAGS or (tag == "header" and not parent.main)
+    label, named, noise = tag, "", tag in NOISE_TAGS or (tag == "header" and not parent.main)
     if attributes and "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
             if name.lower() == "role":
                 noise = noise or value.lower() in NOISE_ROLES
             else:
-                noise = noise or (tag not in ("body", "html", "article", "main") and bool(NOISE_WORDS.search(value)))
+                if tag not in ("body", "html", "article", "main") and NOISE_WORDS.search(value):
+                    named += " " + value
                 label += "." + _DIGITS.sub("", " ".join(value.split()))
-    return Node(tag, f"{parent.path}>{label}" if depth < DEPTH else parent.path, noise or parent.noise, tag in MAIN or parent.main)
+    return Node(tag, f"{parent.path}>{label}" if depth < DEPTH else parent.path, noise or parent.sure, tag in MAIN or parent.main, parent, named)
+
+
+def _in_article(node: Node) -> bool:
+    at = node.parent
+    while at is not None and at.main and at.tag != "article":
+        at = at.parent
+    return at is not None and at.main
+
+
+def _judge(nodes: list[Node]) -> None:
+    """Sets noise by the names, which count only on elements without an article, main or title in them."""
+    central: set[Node] = set()
+    titled: set[Node] = set()
+    headed: set[Node] = set()
+
+    def mark(marked: set[Node], node: Node | None, inside: bool) -> None:
+        while node is not None and node not in marked and (node.main or not inside):
+            marked.add(node)
+            node = node.parent
+
+    for node in nodes:
+        if node.tag in MAIN and not node.sure and not _in_article(node):  # not comments or cards in an article
+            mark(central, node.parent, False)
+        elif node.main and node.tag in HEADINGS:
+            mark(headed, node, True)
+            if node.tag == "h1":
+                mark(titled, node, True)
+    for node in nodes[1:]:  # parents come before their children
+        counts = bool(node.named) and node not in central and node not in titled and not (node.main and node.tag in HEADINGS)
+        if counts and node in headed:
+            counts = bool(NOISE_WORDS.search(HEADER_WORDS.sub("_x_", node.named)))
+        node.noise = node.sure or counts or node.parent.noise
 
 
 def _hush(hidden: list[str], tag: str, closing: bool, closed: bool) -> bool:
@@ -210,6 +251,7 @@ def blocks(page: str | None) -> tuple[list[tuple[Node, tuple[Node, ...], str]],
     if at < len(page) and not hidden:
         text(page[at:])
     flush()
+    _judge(nodes)
     return found, nodes
 
 
@@ -220,15 +262,19 @@ def _host(url: str) -> F.Column:
 def main_text(page: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
     """The page's blocks without noise and removed branches, one to a line."""
     found, nodes = blocks(page)
-    central = any(n.tag in MAIN and not n.noise for n in nodes)
-    kept = []
-    for home, around, text in found:
-        if home.noise or around[-1].noise or (central and not home.main):
-            continue
-        if removed and any(n.path in removed and not (n.main and n.tag in RUNNING) for n in around):
-            continue
-        kept.append(text)
-    return "\n".join(kept)
+
+    def kept(noise: Callable[[Node], bool]) -> list[str]:
+        central = any(n.tag in MAIN and not noise(n) for n in nodes)
+        out = []
+        for home, around, text in found:
+            if noise(home) or noise(around[-1]) or (central and not home.main):
+                continue
+            if removed and any(n.path in removed and not (n.main and n.tag in RUNNING) for n in around):
+                continue
+            out.append(text)
+        return out
+
+    return "\n".join(kept(lambda n: n.noise) or kept(lambda n: n.sure))
 
 
 def counts(pages: DataFrame) -> DataFrame:

@@ -69,6 +69,26 @@ def test_silent_elements_end_where_they_do(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout has-sidebar'><article><p>in</p></article><div class=sidebar>side</div></div>", "in"),
+        ("<div id='search-results-page'><main><p>in</p></main></div>", "in"),
+        ("<div class='layout has-sidebar'><p>in</p></div>", "in"),
+        ("<article><h1 class='entry-header'>T</h1><p>in</p></article>", "T\nin"),
+        ("<article><div class='post-header'><h2>T</h2></div><p>in</p></article>", "T\nin"),
+        ("<article><p>in</p><div class='related-posts'><h2>Related</h2><article><p>other</p></article></div></article>", "in"),
+        ("<main><div class='has-sidebar sidebar'><article><p>in</p></article></div></main>", "in"),
+        ("<article><p>in</p><div class='related'><h2>Related</h2><p>other</p></div></article>", "in"),
+        ("<article><p>in</p><div class='page-header related'><h2>Related</h2></div></article>", "in"),
+        ("<nav class=menu><article><p>no</p></article></nav><p>t</p>", "t"),
+        ("<div class=menu><p>no</p></div><p>t</p>", "t"),
+    ],
+)
+def test_names_of_wrappers_and_titles_remove_nothing(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     pages = [(i, f"http://a.example/{i}", f"<body><div><p>Terms of this site apply</p></div><div class=c><p>own text {i}</p>" + "<p>more %d</p>" % (i * i) * (i % 3) + "</div></body>") for i in range(12)]
     pages += [(100, "http://b.example/x", "<body><div><p>Terms of this site apply</p></div></body>"), (101, None, None)]
