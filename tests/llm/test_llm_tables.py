@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -108,6 +109,91 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def plain_tree(pages):
+    """Importance of every (path, seed) of one host's pages, by the formulas, node by node."""
+    shown, styles, children, below = Counter(), defaultdict(Counter), Counter(), defaultdict(Counter)
+    for page in pages:
+        found, nodes = html_extract.blocks(page)
+        kept = [n for n in nodes if n.seed or n.tag in html_extract.BLOCKS]
+        for path, style in {((n.path, n.seed), tuple(n.children)) for n in kept}:
+            shown[path] += 1
+            styles[path][style] += 1
+            children[path] += len(style)
+        texts = set()
+        for home, pieces in found:
+            n = home
+            while n is not None:
+                texts.add(((n.path, n.seed), html_extract._text([raw for _, raw in pieces])))
+                n = n.parent
+        for path, text in texts:
+            if path in shown:
+                below[path][text] += 1
+    out = {}
+    for path, n in shown.items():
+        m = min(n, len(pages))
+        if m < html_extract.PAGES:
+            out[path] = 0.0 if path[1] else 1.0
+            continue
+        entropy = -sum(c / n * math.log(c / n) for c in styles[path].values()) / math.log(n)
+        content = 1 - min(1.0, sum(map(math.log, below[path].values())) / len(below[path]) / math.log(m)) if below[path] else 1.0
+        share = 0.9 ** (children[path] / n)
+        out[path] = html_extract.PRIORS[path[1]] * ((1 - share) * entropy + share * content if children[path] else content)
+    return out
+
+
+FURNITURE = "<nav class=top><ul><li>a{k}</li><li>b</li></ul></nav><div class=ad>buy {k}</div>"
+
+
+def host_pages():
+    """Pages on which only entropy tells: a box without a name that repeats, and two named alike that do and do not."""
+    body = FURNITURE + "<article><h1>Title {k}</h1><p>text {k}</p>{more}<div class=share>{share}</div><div class=box><div>Read our terms of use</div></div><p>end</p></article><footer>foot {k}</footer>"
+    rich = lambda k: "".join(f"<p>share price on day {k} {j} was {k * j}</p>" for j in range(1 + k % 5)) + "<ul><li>x</ul>" * (k % 3)
+    a = [body.format(k=k, more="<p>more</p>" * (k % 3), share=rich(k)) for k in range(15)]
+    b = [body.format(k=k, more="<p>more</p>" * (k % 3), share="<p>Tell your friends</p>") for k in range(15)]
+    return a, b
+
+
+def test_importances_match_the_formulas_node_by_node(spark):
+    a, b = host_pages()
+    rows = [("a", p) for p in a] + [("b", p) for p in b] + [("c", PAGE)] * 6 + [("d", PAGE)]
+    tree = html_extract.style_tree(spark.createDataFrame(rows, "host string, html string").repartition(5)).collect()
+    for host in "abcd":
+        want = plain_tree([p for h, p in rows if h == host])
+        got = {(r.path, r.seed): r.importance for r in tree if r.host == host}
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_the_tree_decides(spark):
+    a, b = host_pages()
+    rows = [(i, "http://a.example/", p) for i, p in enumerate(a)] + [(100 + i, "http://b.example/", p) for i, p in enumerate(b)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(15):
+        # Only entropy removes the box, only entropy saves a class "share" with text of its own, and furniture goes by its seed in the tree.
+        assert "Read our terms of use" not in got[k] + got[100 + k]
+        assert f"share price on day {k} 0 was 0" in got[k] and "Tell your friends" not in got[100 + k]
+        assert got[k][:2] == [f"Title {k}", f"text {k}"] and got[k][-1] == "end"
+        alone = html_extract.main_text(a[k]).split("\n")
+        assert "Read our terms of use" in alone and f"share price on day {k} 0 was 0" not in alone
+        assert f"buy {k}" in html_extract.main_text(a[k], set()).split("\n")
+
+
+@pytest.mark.parametrize(
+    ("name", "seed"),
+    [("job-search-tips", 0), ("post side-effects", 0), ("share price", 1), ("menu-planning", 1), ("entry-content", 0), ("site-footer", 2), ("relatedPosts", 2), ("comments-area", 2), ("search-form", 2), ("ad", 2), ("shadow adapt", 0)],
+)
+def test_seeds_of_names(name, seed):
+    assert html_extract.seed_of(name) == seed
+
+
+@pytest.mark.parametrize("page", ['<a "' * 20000, "<a " * 60000, "<div>" * 60000 + "x</p>" * 60000, "<!" * 60000, "<aside><p><table>" * 20000 + "<aside>" * 20000, "<select><b><option>" * 20000, "<video><svg>" + "<g><div>" * 30000, "<b>x" * 60000, "<a b='" * 30000, "<script>" * 30000, "<article><main>" * 20000 + "x", "<p>" + "<b class=share>" * 30000 + "x" + "</i>" * 30000])
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    html_extract.page_counts(page)
+    assert time.process_time() - began < 5
+
+
 def plain_licenses(lines_of, templates, threshold):
     vocabulary = {t for x in templates.values() for t in licenses.terms_of(x)}
     lines = [[t for t in licenses.terms_of(x) if t in vocabulary] for text in lines_of.values() for x in (text or "").split("\n")]
