@@ -25,9 +25,10 @@ a page without text, they do not count on that page.  Bare running text and head
 and these two themselves, are kept however often a host repeats them, and branches without a seed stay on
 a page if less than LEFT of its text would be left, so that copies of an article are not lost.
 
-Html is never shuffled: one pass counts, aggregated within tasks first, another removes.  The branches
-to remove go to the second by broadcast if they are few, else by a salted join on the host.  Reading
-takes time in proportion to the page, whatever it holds.
+Html is never shuffled: one pass counts, aggregated within tasks first, another removes.  Only those nodes
+go to the second whose importance removes what has no seed or keeps what has one (names that differ on
+every page make no such nodes, being on too few pages for entropy to tell): by broadcast if they are few,
+else by a salted join on the host.  Reading takes time in proportion to the page, whatever it holds.
 
 Defined results: null and empty html has an empty text; a null url is a host of its own; unclosed and
 stray tags are taken as HTML does (a tag that never ends takes the rest of the page with it); character
@@ -334,15 +335,15 @@ def _host(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def main_text(page: str | None, removed: frozenset[str] | set[str] | None = None) -> str:
-    """The page's blocks without removed branches, one to a line; by its seeds alone if no tree says what is removed."""
+def main_text(page: str | None, overruled: frozenset[str] | set[str] = frozenset()) -> str:
+    """The page's blocks without branches of low importance, one to a line; overruled: paths of nodes whose importance is low without a seed, or not low with one."""
     found, nodes = blocks(page)
 
     def low(n: Node) -> bool:
         if n.seed:
-            return removed is None or n.path in removed
+            return n.path not in overruled
         bare = n.tag in MAIN or (n.label == n.tag and n.tag in RUNNING)
-        return bool(removed) and n.path in removed and n.tag in BLOCKS and not (n.main and bare)
+        return n.path in overruled and n.tag in BLOCKS and not (n.main and bare)
 
     def kept(cut: Callable[[Node], bool]) -> list[str]:
         for n in nodes[1:]:  # parents come before their children
@@ -351,7 +352,7 @@ def main_text(page: str | None, removed: frozenset[str] | set[str] | None = None
         return [t for t in texts if t]
 
     out = kept(low)
-    if any(not n.seed and low(n) for n in nodes):
+    if overruled and any(not n.seed and low(n) for n in nodes):
         seeded = kept(lambda n: bool(n.seed) and low(n))
         if sum(map(len, out)) < LEFT * sum(map(len, seeded)):
             out = seeded
@@ -440,10 +441,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     tables = Tables(pages.sparkSession)
     kinds = dict(pages.dtypes)
     hosted = pages.select(id_col, url_col, F.col(html_col).cast("string").alias("html"), _host(url_col).alias("host"))
-    low = style_tree(hosted).where((F.col("importance") < LOW) & (F.col("path") != "body")).select("host", "path")
-    low = tables.keep(low, "low")
-    by_host = low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("removed"))
-    joined = hosted.join(F.broadcast(by_host), "host", "left") if low.count() <= BROADCAST_ROWS else salted_join(hosted, by_host, ["host"], id_col)
+    overruled = style_tree(hosted).where(((F.col("importance") < LOW) == (F.col("seed") == 0)) & (F.col("path") != "body")).select("host", "path")
+    overruled = tables.keep(overruled, "overruled")
+    by_host = overruled.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("overruled"))
+    joined = hosted.join(F.broadcast(by_host), "host", "left") if overruled.count() <= BROADCAST_ROWS else salted_join(hosted, by_host, ["host"], id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple, frozenset] = {}
@@ -458,4 +459,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(page, sets[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
-    return joined.select(id_col, url_col, "html", "removed").mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string")
+    return joined.select(id_col, url_col, "html", "overruled").mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string")

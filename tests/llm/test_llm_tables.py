@@ -164,18 +164,19 @@ def test_importances_match_the_formulas_node_by_node(spark):
         assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
-def test_the_tree_decides(spark):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_the_tree_decides(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", most)  # both ways of the join
     a, b = host_pages()
     rows = [(i, "http://a.example/", p) for i, p in enumerate(a)] + [(100 + i, "http://b.example/", p) for i, p in enumerate(b)]
     got = {r.page_id: r.text.split("\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(15):
-        # Only entropy removes the box, only entropy saves a class "share" with text of its own, and furniture goes by its seed in the tree.
+        # Only entropy removes the box, and only entropy saves a class "share" with text of its own.
         assert "Read our terms of use" not in got[k] + got[100 + k]
         assert f"share price on day {k} 0 was 0" in got[k] and "Tell your friends" not in got[100 + k]
         assert got[k][:2] == [f"Title {k}", f"text {k}"] and got[k][-1] == "end"
         alone = html_extract.main_text(a[k]).split("\n")
         assert "Read our terms of use" in alone and f"share price on day {k} 0 was 0" not in alone
-        assert f"buy {k}" in html_extract.main_text(a[k], set()).split("\n")
 
 
 @pytest.mark.parametrize(
