@@ -1,22 +1,25 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Candidates are lifted by one component, sqrt(M - |x|^2) with M the largest squared norm, to equal norms;
-queries get 0 there, and so have other distances to the pivots than the same vector as a candidate.  The inner product then falls as the Euclidean distance of the lifted vectors
-grows: d^2 = |q|^2 + M - 2 q.x.  Distances of all vectors to PIVOTS pivots are computed once.  By the
-triangle inequality, the largest |d(q, p) - d(x, p)| over the pivots bounds d(q, x) from below, and so
-q.x from above.
-
-Candidates are dealt by their nearest pivot into blocks of at most BLOCK, queries likewise.  A first
-pass takes each query block against the candidate blocks of its own cell, for a k-th best score to
-start from.  The second takes it against every other block whose bound, from the range of its
-distances to each pivot, can still reach that score; within a block, a query's candidates are
-evaluated in the order of their own bounds, STEP at a time, until the next bound is below the k-th
-score.  Bounds are widened by ROUNDING; scores are integers, computed exactly.
+An inner product falls as the distance of its two vectors grows: 2 q.x = |q|^2 + |x|^2 - d^2.  Distances
+of all vectors to PIVOTS pivots are computed once.  They bound d(q, x) from below, and so q.x from above:
+by the largest |d(q, p) - d(x, p)| over the pivots for whole blocks, and for single candidates by the
+distance of the apexes of both over the simplex of the pivots (n-simplex projection: the places that the
+distances fix in the pivots' span, and the heights above it), which no bound from the same distances exceeds.
+
+Candidates are dealt by their nearest pivot into blocks of about BLOCK and shuffled once.  A first pass
+takes each query against about FIRST candidates of its own cell, for a k-th best score to start from.  The
+second sends the queries, which are fewer, in parts of about QUERIES to every block whose bound, from the
+ranges of its distances to each pivot and its largest norm, can still reach the least of those scores.  A
+task holds one block and a batch of queries; a query's candidates are evaluated in the order of their
+bounds, STEP at a time, until the next bound is below its k-th score.  Bounds are widened by ROUNDING;
+scores are integers, computed exactly: in double precision where no product can pass 2^53, else in whole
+numbers of any size.
 
 Defined results: vectors that are null, hold null or non-finite components or have another length than
 most take no part; a query with fewer candidates has fewer rows; ties go to the smaller id; rows that
-repeat an id count once, by the smaller vector; other columns are ignored; no rows
-give no rows.
+repeat an id and its vector count once, those of one id with different vectors are each a candidate and,
+if asked, a query; a component or a score among the best that no long can hold is an error; other columns are
+ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, rows_by_key
+from .common import Tables, salted_join
 
-PIVOTS, BLOCK, QUERIES, STEP = 48, 2048, 256, 128
+PIVOTS, BLOCK, QUERIES, FIRST, STEP = 48, 4096, 256, 256, 64
 ROUNDING = 1e-6
 
 
@@ -40,7 +43,7 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     whole = F.col(vector_col).isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     kept = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.col(vector_col)).where(whole)
-    return kept.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return kept.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v")).dropDuplicates(["id", "v"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype=np.int64) -> np.ndarray:
@@ -71,33 +74,69 @@ def choose_pivots(sample: np.ndarray, number: int) -> np.ndarray:
     return sample[chosen]
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, q_far: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, far: np.ndarray, most: float, k: int) -> tuple[list, int]:
+class Apexes:
+    """Places over the simplex of the pivots, from distances to them: coordinates in their span, from the first pivot, and the height above it."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        edges = pivots[1:] - pivots[0]
+        u, size, _ = np.linalg.svd(edges, full_matrices=False)
+        kept = size > 1e-9 * max(size.max(initial=0.0), 1e-300)
+        self.square, self.turn = (edges * edges).sum(axis=1), u[:, kept] / size[kept]
+
+    def of(self, far: np.ndarray) -> np.ndarray:
+        near = far * far
+        flat = (near[:, :1] - near[:, 1:] + self.square) / 2 @ self.turn
+        return np.hstack([flat, np.sqrt(np.maximum(0.0, near[:, :1] - (flat * flat).sum(axis=1, keepdims=True)))])
+
+
+def products_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers."""
+    most = float(np.abs(x.astype(np.float64)).max(initial=0.0)) * float(np.abs(q.astype(np.float64)).sum())
+    if most < 2**53:
+        return np.rint(x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    return x.astype(object) @ q.astype(object)
+
+
+def best_of(q: np.ndarray, q_ids: np.ndarray, q_far: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, far: np.ndarray, most: float | np.ndarray, k: int, simplex: Apexes | None = None, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list, int]:
     """(query id, id, score) of each query's k best in one block at or above its floor, and how many products were computed.
 
-    far: distances to the pivots; floor: a score that the query's k-th best has at least.
+    far: distances to the pivots; floor: a score that the query's k-th best has at least; most: the squared norms
+    of the candidates (as they were measured: the lifted ones' is one number); own: what tells the rows of queries
+    and candidates apart, if not their ids.  query ids are given as places in q if own is.
     """
     found, products = [], 0
     square = (q.astype(np.float64) ** 2).sum(axis=1)
-    xf = x.astype(np.float64)
-    for i in range(len(q)):
-        bound = np.abs(far - q_far[i]).max(axis=1)
-        upper = (square[i] + most - bound**2) / 2 + ROUNDING * (square[i] + most)
-        open_ = np.flatnonzero((upper >= floor[i]) & (ids != q_ids[i]))
-        open_ = open_[np.argsort(-upper[open_], kind="stable")]
-        top_ids, top = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    q_own, c_own = own if own is not None else (q_ids, ids)
+    if simplex is not None:
+        a, b = simplex.of(q_far), simplex.of(far)
+        near = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
+        slack = ROUNDING * (square[:, None] + most + (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :])
+        uppers = (square[:, None] + most - near) / 2 + slack
+        asking = np.flatnonzero((uppers >= floor.astype(np.float64)[:, None]).any(axis=1))
+    else:
+        asking = range(len(q))
+    for i in asking:
+        if simplex is not None:
+            upper = uppers[i]
+        else:
+            bound = np.abs(far - q_far[i]).max(axis=1)
+            upper = (square[i] + most - bound**2) / 2 + ROUNDING * (square[i] + most)
         least = floor[i]
-        for a in range(0, len(open_), STEP):
-            some = open_[a : a + STEP]
+        open_ = np.flatnonzero((upper >= least) & (c_own != q_own[i]))
+        open_ = open_[np.argsort(-upper[open_], kind="stable")]
+        top: list[tuple] = []
+        for at in range(0, len(open_), STEP):
+            some = open_[at : at + STEP]
             if upper[some[0]] < least:
                 break
-            exact = np.rint(xf[some] @ q[i].astype(np.float64)).astype(np.int64)
+            exact = products_of(x[some], q[i])
             products += len(some)
-            top_ids, top = np.concatenate([top_ids, ids[some]]), np.concatenate([top, exact])
-            order = np.lexsort((top_ids, -top))[:k]
-            top_ids, top = top_ids[order], top[order]
+            top = sorted(top + [(-int(s), int(c)) for s, c in zip(exact, ids[some], strict=True)])[:k]
             if len(top) == k:
-                least = max(least, top[-1])
-        found += [(int(q_ids[i]), int(a), int(b)) for a, b in zip(top_ids, top, strict=True) if b >= floor[i]]
+                least = max(least, -top[-1][0])
+        found += [(int(i) if own is not None else int(q_ids[i]), c, -s) for s, c in top if -s >= floor[i]]
     return found, products
 
 
@@ -106,82 +145,94 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     spark = vectors.sparkSession
     tables = Tables(spark)
     result = "query_id long, rank int, vec_id long, score long"
-    sizes = vectors.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    whole = tables.keep(vectors.select("id", "v"), "vectors")
+    sizes = whole.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     if sizes is None or sizes.size == 0:
         return spark.createDataFrame([], result)
-    vectors = vectors.where(F.size("v") == sizes.size)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
-    most = float(vectors.agg(F.max(square)).first()[0])
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(2048).collect()  # a bounded sample to choose pivots from
-    sample = np.array(sorted(r.v for r in sample))
-    if np.abs(sample).max() > 2**20 or most >= 2**50:
-        raise ValueError("components are too large for exact products in double precision")
-    anchors = choose_pivots(_lifted(sample, most), pivots)
-
-    def measured(batches: Iterator[pa.RecordBatch], lift: float | None) -> Iterator[pa.RecordBatch]:
+    whole = whole.where(F.size("v") == sizes.size)
+    sample = whole.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(2048).collect()  # a bounded sample to choose pivots from
+    anchors = choose_pivots(np.array(sorted(r.v for r in sample)).astype(np.float64), pivots)
+    simplex = Apexes(anchors)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1))
-            far = _distances(_lifted(v, lift), anchors) if len(v) else np.zeros((0, len(anchors)))
-            lists = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel(), t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(far, pa.float64()), pa.array(far.argmin(axis=1) if len(far) else np.zeros(0), pa.int32())], names=["id", "v", "far", "cell"])
-
-    shape = "id long, v array<long>, far array<double>, cell int"
-    table = tables.keep(vectors.select("id", "v").mapInArrow(lambda b: measured(b, most), shape), "pivots")
-    asking = tables.keep(vectors.where(is_query).select("id", "v").mapInArrow(lambda b: measured(b, None), shape), "asking")
-
-    def dealt(frame: DataFrame, size: int) -> DataFrame:
-        """frame with its part, of about size rows, of its cell."""
-        counted = frame.groupBy("cell").count().collect()  # a row for each pivot at most
-        number = F.create_map(*[F.lit(x) for r in counted for x in (r["cell"], -(-r["count"] // size))])[F.col("cell")] if counted else F.lit(1)
-        return frame.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), number).cast("int"))
-
-    candidates, queries = dealt(table, block), dealt(asking, QUERIES)
-    cells = sorted(r.cell for r in table.select("cell").distinct().collect())
-
-    # Ranges of the distances to each pivot, by block; as many blocks as the vectors divided by block.
-    span = lambda f: [f(F.element_at("far", i + 1)) for i in range(len(anchors))]
-    ranges = candidates.groupBy("cell", "part").agg(F.array(*span(F.min)).alias("near"), F.array(*span(F.max)).alias("far"))
-    ranges = tables.keep(ranges, "ranges")
+            v = _matrix(batch.column(2)).astype(np.float64)
+            far = _distances(v, anchors) if len(v) else np.zeros((0, len(anchors)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1) * far.shape[1], pa.int32()), pa.array(far.ravel(), pa.float64()))
+            norm = (v * v).sum(axis=1) if len(v) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(norm, pa.float64()), pa.array(far.argmin(axis=1) if len(far) else np.zeros(0), pa.int32())], names=["row", "id", "v", "far", "norm", "cell"])
+
+    # Rows are numbered as they are written; every later step reads the numbers.
+    numbered = whole.select(F.monotonically_increasing_id().alias("row"), "id", "v")
+    table = tables.keep(numbered.mapInArrow(measured, "row long, id long, v array<long>, far array<double>, norm double, cell int"), "pivots")
+    tables.drop("vectors")
+    counted = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}  # a row for each pivot at most
 
-    def against(pairs: DataFrame) -> DataFrame:
-        """Each (query part, candidate part): the queries' best there."""
+    def part(size: int, seed: int) -> Column:
+        number = F.create_map(*[F.lit(x) for c, n in counted.items() for x in (c, -(-n // size))])[F.col("cell")]
+        return F.pmod(F.xxhash64("row", F.lit(seed)), number).cast("int")
+
+    candidates = table.withColumn("part", part(block, 11))
+    asking = table.where(is_query)
+
+    def against(rows: DataFrame) -> DataFrame:
+        """rows (cell, part, side, row, id, v, floor), candidates (side 0) before queries: each query's best in the block."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, rows in rows_by_key(batches, 4):
-                side = np.array(rows.column("side").to_pylist())
-                ids = np.array(rows.column("id").to_pylist(), dtype=np.int64)
-                v, far = _matrix(rows.column("v")), _matrix(rows.column("far"), np.float64)
-                floor = np.array([np.iinfo(np.int64).min if x is None else x for x in rows.column("floor").to_pylist()], dtype=np.int64)
-                q, c = side == 0, side == 1
-                found, _ = best_of(v[q], ids[q], far[q], floor[q], v[c], ids[c], far[c], most, k)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(col, pa.int64()) for col in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
-
-        return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    key = ["qc", "qp", "cell", "part"]
-
-    def together(q: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The rows of both sides of every pair (qc, qp, cell, part), dealt by pair."""
-        left = q.select(F.col("cell").alias("qc"), F.col("part").alias("qp"), "id", "v", "far", "floor").join(pairs, ["qc", "qp"])
-        right = candidates.join(pairs, ["cell", "part"]).withColumn("floor", F.lit(None).cast("long"))
-        rows = left.select(*key, F.lit(0).alias("side"), "id", "v", "far", "floor").unionByName(right.select(*key, F.lit(1).alias("side"), "id", "v", "far", "floor"))
-        return rows.repartition(*key).sortWithinPartitions(*key)
-
-    asked = queries.select(F.col("cell").alias("qc"), F.col("part").alias("qp")).distinct()
-    own = asked.join(ranges.select("cell", "part"), F.col("qc") == F.col("cell"))
-    first = tables.keep(against(together(queries.withColumn("floor", F.lit(None).cast("long")), own)), "first")
-    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    started = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    floors = started.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    queries = tables.keep(queries.join(floors, "id", "left"), "queries")
-
-    # The other blocks, where the bound of some query of the part can reach its floor.
-    reach = queries.groupBy(F.col("cell").alias("qc"), F.col("part").alias("qp")).agg(F.array(*span(F.min)).alias("q_near"), F.array(*span(F.max)).alias("q_far"), F.min(F.coalesce("floor", F.lit(-(2**62)))).alias("floor"), F.max(square).alias("norm"), F.count("*").alias("n"))
-    blocks = ranges.groupBy("cell").agg(F.collect_list(F.struct("part", "near", "far")).alias("parts"))
-    every = reach.withColumn("cell", F.explode(F.lit(cells))).where("cell <> qc").join(blocks, "cell").select("*", F.explode("parts").alias("b")).drop("parts")
-    gap = F.array_max(F.transform(F.arrays_zip("q_near", "q_far", F.col("b.near").alias("near"), F.col("b.far").alias("far")), lambda z: F.greatest(z["near"] - z["q_far"], z["q_near"] - z["far"], F.lit(0.0))))
-    open_ = every.where((F.col("norm") + most - gap * gap) / 2 + ROUNDING * (F.col("norm") + most) >= F.col("floor")).select("qc", "qp", "cell", F.col("b.part").alias("part"))
-    rest = against(together(queries, tables.keep(open_, "open")))
-    merged = started.select("query_id", "vec_id", "score").unionByName(rest)
-    return merged.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            key, held, ready = None, [], None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                places = np.stack([batch.column(i).to_numpy() for i in range(3)])
+                cuts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1
+                for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                    cell, which, side = (int(x) for x in places[:, a])
+                    if key != (cell, which):
+                        key, held, ready = (cell, which), [], None
+                    part_of = batch.slice(a, b - a)
+                    row, ids, v = part_of.column(3).to_numpy(), part_of.column(4).to_numpy(), _matrix(part_of.column(5))
+                    if side == 0:
+                        held.append((row, ids, v))
+                        continue
+                    if not held:
+                        continue
+                    if ready is None:
+                        c_row, c_ids, c = (np.concatenate(z) for z in zip(*held, strict=True))
+                        cf = c.astype(np.float64)
+                        ready = (c_row, c_ids, c, _distances(cf, anchors), (cf * cf).sum(axis=1))
+                    c_row, c_ids, c, c_far, norms = ready
+                    floor = np.array([np.iinfo(np.int64).min if f is None else f for f in part_of.column(6).to_pylist()], dtype=np.int64)
+                    for at in range(0, len(row), QUERIES):
+                        some = slice(at, at + QUERIES)
+                        found, _ = best_of(v[some], ids[some], _distances(v[some].astype(np.float64), anchors), floor[some], c, c_ids, c_far, norms, k, simplex, (row[some], c_row))
+                        if found:
+                            i, vec, score = (list(z) for z in zip(*found, strict=True))
+                            yield pa.RecordBatch.from_arrays([pa.array(row[some][i]), pa.array(ids[some][i]), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["row", "query_id", "vec_id", "score"])
+
+        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "side").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+
+    def rows(frame: DataFrame, side: int, floor: Column) -> DataFrame:
+        return frame.select("cell", "part", F.lit(side).alias("side"), "row", "id", "v", floor.cast("long").alias("floor"))
+
+    none = F.lit(None)
+    ranked = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    near = table.withColumn("part", part(FIRST, 5)).where("part = 0")
+    first = against(rows(near, 0, none).unionByName(rows(asking.withColumn("part", F.lit(0)), 1, none)))
+    first = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    floors = first.groupBy("row").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("row", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+    queries = asking.withColumnRenamed("cell", "qc").withColumn("qp", F.pmod(F.xxhash64("row", F.lit(13)), F.ceil(F.lit(max(counted.values())) / QUERIES)).cast("int"))
+    queries = tables.keep(queries.join(floors, "row", "left"), "queries")
+
+    # The blocks that the bound of some query of a part can reach: a row for each part and block.
+    span = lambda f: F.array(*[f(F.element_at("far", i + 1)) for i in range(len(anchors))])
+    ranges = candidates.groupBy("cell", "part").agg(span(F.min).alias("near"), span(F.max).alias("far"), F.max("norm").alias("most"))
+    ranges = tables.keep(ranges, "ranges")
+    reach = queries.groupBy("qc", "qp").agg(span(F.min).alias("q_near"), span(F.max).alias("q_far"), F.min(F.coalesce("floor", F.lit(-(2**62)))).alias("floor"), F.max("norm").alias("norm"))
+    every = reach.withColumn("cell", F.explode(F.array(*map(F.lit, sorted(counted))))).withColumn("_spread", F.hash("qc", "qp"))
+    every = salted_join(every, ranges, ["cell"], "_spread", "inner")
+    gap = F.array_max(F.transform(F.arrays_zip("q_near", "q_far", "near", "far"), lambda z: F.greatest(z["near"] - z["q_far"], z["q_near"] - z["far"], F.lit(0.0))))
+    bound = F.least((F.col("norm") + F.col("most") - gap * gap) / 2, F.sqrt(F.col("norm") * F.col("most"))) + ROUNDING * (F.col("norm") + F.col("most"))
+    open_ = every.where(bound >= F.col("floor")).select("qc", "qp", "cell", "part")
+    sent = queries.select("qc", "qp", "row", "id", "v", "floor").join(open_, ["qc", "qp"])
+    found = against(rows(candidates, 0, none).unionByName(rows(sent, 1, F.col("floor"))))
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -389,6 +389,33 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(topk.integers(df.limit(0)), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = [(i, [float(c) for c in rng.integers(-(2**20), 2**20, 4)]) for i in range(200)] + [(200, [2.0**22, 1.0, -(2.0**22), 3.0]), (50, [5.0, 5.0, 5.0, 5.0]), (201, [0.1, 0.2, 0.3, 0.4])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter(tuple(r) for r in topk.top_k(topk.integers(df), F.col("id") % 50 == 0, k=3, pivots=4, block=16).collect())
+    rows = [(i, [math.floor(256 * c) for c in v]) for i, v in x]
+    want = Counter()
+    for a, (i, q) in enumerate(rows):
+        if i % 50 == 0:
+            best = heapq.nsmallest(3, ((-sum(m * n for m, n in zip(q, v, strict=True)), j) for b, (j, v) in enumerate(rows) if b != a))
+            want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
+    assert got == want
+    assert [int(s) for s in topk.products_of(np.array([[2**40, 1]]), np.array([2**40, 1]))] == [2**80 + 1]
+
+
+def test_apexes_bound_distances_from_below():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 12)) * 100
+    anchors = topk.choose_pivots(x, 7)
+    far = topk._distances(x, anchors)
+    a = topk.Apexes(anchors).of(far)
+    bound = np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=-1))
+    true = topk._distances(x, x)
+    assert (bound <= true + 1e-6 * (1 + true)).all()
+    assert (bound + 1e-6 * (1 + true) >= np.abs(far[:, None] - far[None]).max(axis=-1)).all()
+
+
 def test_pivot_bounds_save_products():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 6)) * 400
