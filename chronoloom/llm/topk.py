@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import Tables, salted_join
 
 PIVOTS, BLOCK, QUERIES, FIRST, STEP = 48, 4096, 256, 256, 64
+#: Queries that one task takes against a block, about.
+ASKED = 16384
 ROUNDING = 1e-6
 
 
@@ -168,29 +170,38 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     tables.drop("vectors")
     counted = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}  # a row for each pivot at most
 
-    def part(size: int, seed: int) -> Column:
-        number = F.create_map(*[F.lit(x) for c, n in counted.items() for x in (c, -(-n // size))])[F.col("cell")]
+    asking = table.where(is_query)
+    asked = {r["cell"]: r["count"] for r in asking.groupBy("cell").count().collect()}
+    if not asked:
+        return spark.createDataFrame([], result)
+
+    def parts(of: dict[int, int], size: int) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for c, n in of.items() for x in (c, -(-n // size))])[F.col("cell")], F.lit(1))
+
+    def part(number: Column, seed: int) -> Column:
         return F.pmod(F.xxhash64("row", F.lit(seed)), number).cast("int")
 
-    candidates = table.withColumn("part", part(block, 11))
-    asking = table.where(is_query)
+    def each(number: Column | int) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.lit(number) if isinstance(number, int) else number) - 1))
+
+    candidates = table.withColumn("part", part(parts(counted, block), 11))
 
     def against(rows: DataFrame) -> DataFrame:
-        """rows (cell, part, side, row, id, v, floor), candidates (side 0) before queries: each query's best in the block."""
+        """rows (cell, part, turn, side, row, id, v, floor), candidates (side 0) before queries: each query's best in the block."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held, ready = None, [], None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                places = np.stack([batch.column(i).to_numpy() for i in range(3)])
+                places = np.stack([batch.column(i).to_numpy() for i in range(4)])
                 cuts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1
                 for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                    cell, which, side = (int(x) for x in places[:, a])
-                    if key != (cell, which):
-                        key, held, ready = (cell, which), [], None
+                    *block_of, side = (int(x) for x in places[:, a])
+                    if key != block_of:
+                        key, held, ready = block_of, [], None
                     part_of = batch.slice(a, b - a)
-                    row, ids, v = part_of.column(3).to_numpy(), part_of.column(4).to_numpy(), _matrix(part_of.column(5))
+                    row, ids, v = part_of.column(4).to_numpy(), part_of.column(5).to_numpy(), _matrix(part_of.column(6))
                     if side == 0:
                         held.append((row, ids, v))
                         continue
@@ -201,7 +212,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
                         cf = c.astype(np.float64)
                         ready = (c_row, c_ids, c, _distances(cf, anchors), (cf * cf).sum(axis=1))
                     c_row, c_ids, c, c_far, norms = ready
-                    floor = np.array([np.iinfo(np.int64).min if f is None else f for f in part_of.column(6).to_pylist()], dtype=np.int64)
+                    floor = np.array([np.iinfo(np.int64).min if f is None else f for f in part_of.column(7).to_pylist()], dtype=np.int64)
                     for at in range(0, len(row), QUERIES):
                         some = slice(at, at + QUERIES)
                         found, _ = best_of(v[some], ids[some], _distances(v[some].astype(np.float64), anchors), floor[some], c, c_ids, c_far, norms, k, simplex, (row[some], c_row))
@@ -209,18 +220,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
                             i, vec, score = (list(z) for z in zip(*found, strict=True))
                             yield pa.RecordBatch.from_arrays([pa.array(row[some][i]), pa.array(ids[some][i]), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["row", "query_id", "vec_id", "score"])
 
-        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "side").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+        return rows.repartition("cell", "part", "turn").sortWithinPartitions("cell", "part", "turn", "side").mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
     def rows(frame: DataFrame, side: int, floor: Column) -> DataFrame:
-        return frame.select("cell", "part", F.lit(side).alias("side"), "row", "id", "v", floor.cast("long").alias("floor"))
+        return frame.select("cell", "part", "turn", F.lit(side).alias("side"), "row", "id", "v", floor.cast("long").alias("floor"))
 
     none = F.lit(None)
     ranked = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    near = table.withColumn("part", part(FIRST, 5)).where("part = 0")
-    first = against(rows(near, 0, none).unionByName(rows(asking.withColumn("part", F.lit(0)), 1, none)))
+    turns = parts(asked, ASKED)
+    near = table.withColumn("part", part(parts(counted, FIRST), 5)).where("part = 0").withColumn("turn", each(turns))
+    first = against(rows(near, 0, none).unionByName(rows(asking.withColumns({"part": F.lit(0), "turn": part(turns, 17)}), 1, none)))
     first = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     floors = first.groupBy("row").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("row", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    queries = asking.withColumnRenamed("cell", "qc").withColumn("qp", F.pmod(F.xxhash64("row", F.lit(13)), F.ceil(F.lit(max(counted.values())) / QUERIES)).cast("int"))
+    most = -(-sum(asked.values()) // ASKED)
+    queries = asking.select("row", "id", "v", "far", "norm", F.col("cell").alias("qc"), part(parts(asked, QUERIES), 13).alias("qp"))
     queries = tables.keep(queries.join(floors, "row", "left"), "queries")
 
     # The blocks that the bound of some query of a part can reach: a row for each part and block.
@@ -233,6 +246,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     gap = F.array_max(F.transform(F.arrays_zip("q_near", "q_far", "near", "far"), lambda z: F.greatest(z["near"] - z["q_far"], z["q_near"] - z["far"], F.lit(0.0))))
     bound = F.least((F.col("norm") + F.col("most") - gap * gap) / 2, F.sqrt(F.col("norm") * F.col("most"))) + ROUNDING * (F.col("norm") + F.col("most"))
     open_ = every.where(bound >= F.col("floor")).select("qc", "qp", "cell", "part")
-    sent = queries.select("qc", "qp", "row", "id", "v", "floor").join(open_, ["qc", "qp"])
-    found = against(rows(candidates, 0, none).unionByName(rows(sent, 1, F.col("floor"))))
+    sent = queries.select("qc", "qp", "row", "id", "v", "floor").join(open_, ["qc", "qp"]).withColumn("turn", F.pmod(F.xxhash64("qc", "qp"), F.lit(most)).cast("int"))
+    found = against(rows(candidates.withColumn("turn", each(most)), 0, none).unionByName(rows(sent, 1, F.col("floor"))))
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
