@@ -54,25 +54,25 @@ class Tables:
             delete_path(self.spark, self.paths.pop(label))
 
 
-def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "left") -> DataFrame:
-    """Joins on a key that may hold a third of many's rows: these are dealt into SALTS parts by the column spread; few is repeated for each."""
-    salt = F.explode(F.array(*map(F.lit, range(SALTS))))
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return left.join(few.withColumn("_salt", salt), [*on, "_salt"], how).drop("_salt")
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Joins on a key that may hold a third of many's rows: these are dealt into salts parts by the column spread; few is repeated for each.  Never by broadcast, since few may grow."""
+    salt = F.explode(F.array(*map(F.lit, range(salts))))
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return left.join(few.withColumn("_salt", salt).hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 def connected_components(tables: Tables, edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each node's neighbours are linked to the smallest
-    of them.  A node's smallest neighbour comes from a partial aggregation and is joined back, so a
-    node with very many neighbours is never gathered in one task.  Every round is written to the
+    of them.  A node's smallest neighbour comes from a partial aggregation and is joined back with salt,
+    so a node with very many neighbours is never gathered in one task.  Every round is written to the
     shared folder.  No edges: no rows.
     """
 
     def least(pairs: DataFrame) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        return pairs.join(low, "u")
+        return salted_join(pairs, low, ["u"], "v", "inner", 8)
 
     def sums(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.when(F.col("b").isNull(), 1))).first())

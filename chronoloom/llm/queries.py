@@ -73,7 +73,7 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=85, den=100)
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

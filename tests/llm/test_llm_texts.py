@@ -171,6 +171,43 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    """Chains, copies and other texts of one cluster, in blocks so small that links lie across them."""
+    rng = random.Random(8)
+    monkeypatch.setattr(near_dedup, "SLACK", 30.0)
+    base = words(rng, 60).split()
+    texts = []
+    for i in range(90):  # a chain: each a word further from the first
+        own = list(base)
+        for k in range(i % 45):
+            own[k] = f"w{k}"
+        texts.append((500 - i, " ".join(own)))
+    texts += [(600 + i, " ".join(base[:20] + [f"u{i}x{k}" for k in range(40)])) for i in range(10)]
+    texts += [(i, t) for i, t in texts[:30:7]] + [(500, " ".join(base[:58])), (501, words(rng, 30))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = [(k, i, t) for k, (i, t) in enumerate(texts)]
+    sets = [plain_set(t, 2) for _, _, t in rows]
+    label = [i for _, i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    want = sorted((i, len(sets[k]), label[k]) for k, i, _ in rows)
+    for block in (4, 128):
+        got = near_dedup.near_duplicates(docs, n=2, num=90, block=block, rows=2, bands=100).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert len({c for _, _, c in want}) > 3
+
+
+def test_rows_that_share_an_id_are_linked_by_similarity_alone(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f"), (3, "u v w x y z"), (7, "U v w x y z"), (2, "k l m n o p")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(2, 2, True), (3, 3, True), (3, 3, True), (7, 3, False)]
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f")], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
