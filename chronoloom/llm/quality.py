@@ -1,9 +1,11 @@
 """Quality by compression: a text reads as whichever labelled text compresses it better.
 
-Two zstandard dictionaries are trained, on good and on bad labelled text.  A text's features are the
-normalised difference of its compressed sizes under them, the three ratios of compressed to raw size
-(good, bad and no dictionary), the same of its worst segment, and the logarithm of its length; a
-logistic regression on labelled texts that the dictionaries have not seen calibrates them to a score.
+Two zstandard dictionaries are trained, on good and on bad labelled text.  With g and b a text's compressed
+sizes under them, its normalised difference is (b - g) / (b + g), that of the whole text and that of its worst
+segment.  A text that repeats itself is small under both, and its difference says little; so the difference
+between g and the size that good text of its length takes counts too, as the logarithm of g per byte and its
+square (too small and too large are both unusual).  A logistic regression on labelled texts that the
+dictionaries have not seen calibrates these four to a score; nothing else of a text enters it.
 
 Fitting takes a bounded sample of the labelled rows: at most SAMPLE of each class, chosen by a hash of
 the id and dealt into two folds.  Each fold's dictionaries (trained on the BYTES-byte slices at
@@ -34,7 +36,7 @@ DICTIONARY = 64 << 10
 LEVEL = 3
 #: A text's segments for its worst one, in characters.
 SEGMENT = 2048
-FEATURES = 9
+FEATURES = 4
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,6 @@ class _Compressors:
             d.precompute_compress(level=LEVEL)
         kept = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.good, self.bad = (zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **kept) for d in trained)
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, **kept)
 
     def _difference(self, raw: bytes) -> tuple[int, int, float]:
         g, b = len(self.good.compress(raw)), len(self.bad.compress(raw))
@@ -61,13 +62,12 @@ class _Compressors:
 
     def features(self, text: str | None) -> list[float]:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        n = max(1, len(raw))
-        g, b, d = self._difference(raw)
-        worst = d
+        g, _, whole = self._difference(raw)
+        worst = whole
         if len(raw) > SEGMENT:
             worst = min(self._difference(raw[k : k + SEGMENT])[2] for k in range(0, len(raw) - SEGMENT // 2, SEGMENT))
-        own, size = len(self.plain.compress(raw)) / n, math.log1p(len(raw))
-        return [d, g / n, b / n, own, worst, size, (b - g) / n, d * math.exp(-size / 4), own * own]
+        size = math.log(g / max(1, len(raw)))
+        return [whole, worst, size, size * size]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

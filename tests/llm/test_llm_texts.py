@@ -258,6 +258,45 @@ def test_quality_tells_held_out_rows_apart(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[9001].score == got[9002].score
 
 
+def test_scores_match_a_plain_reckoning(spark):
+    """Sizes by zstandard itself, and the score by the formula, for empty, repeated and very long texts too."""
+    import math
+    import zlib
+
+    import zstandard
+
+    rng = random.Random(21)
+    rows = labelled(rng, 400)
+    docs = [(i, t) for i, t, _ in rows] + [(9000, ""), (9001, None), (9002, rows[0][1] * 800), (9003, "x"), (3, rows[3][1])]
+    frame = spark.createDataFrame([(*d, "given", 7) for d in docs], "doc_id long, text string, score string, predicted int").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(1, None), (2, 5)], "doc_id long, quality int")
+    model = quality.fit(frame, labels, held_out=quality.held_out())
+    got = [(r.doc_id, r.score, r.predicted) for r in quality.with_quality(frame, model).collect()]
+    held = {r.doc_id for r in frame.where(quality.held_out()).collect()}
+    assert held == {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+
+    def size(dictionary, raw):
+        made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(made.compress(raw))
+
+    def plain(text):
+        raw = (text or "").encode()
+        d = lambda x: (size(model.bad, x) - size(model.good, x)) / (size(model.bad, x) + size(model.good, x))
+        worst = min(d(raw[k : k + 2048]) for k in range(0, max(1, len(raw) - 1024), 2048)) if len(raw) > 2048 else d(raw)
+        each = math.log(size(model.good, raw) / max(1, len(raw)))
+        x = [(v - c) / s for v, c, s in zip([d(raw), worst, each, each**2], model.centre, model.spread, strict=True)]
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=False)) + model.weights[-1]))))
+
+    texts = {i: t for i, t in docs}
+    assert len(got) == len(docs)
+    for i, score, predicted in got:
+        assert 0 <= score <= 1 and predicted == (score >= 0.3)
+        if i >= 9000 or i % 7 == 0:
+            assert score == pytest.approx(plain(texts[i]), abs=2e-3)
+    assert quality.with_quality(frame.limit(0), model).count() == 0
+    assert quality.fit(frame.limit(0), labels) is None
+
+
 def test_quality_without_labels_scores_a_half(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
