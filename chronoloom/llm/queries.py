@@ -61,7 +61,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as records of deduplicated archives, read back."""
     manifest, folder = warc.deduplicated(_table(spark, sf_dir, "pages"))
-    files = manifest.repartition("file")
+    files = manifest.repartitionByRange(max(1, manifest.count()), "file")  # about a file to a task
     return warc.read_archives(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
