@@ -100,3 +100,45 @@ def test_run_keeps_the_mixture_to_the_end(spark, tmp_path, monkeypatch):
     assert [source[got[k]] for k in range(len(docs))] == want
     placed = {r.position: r.doc_id for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert got == placed
+
+
+CLASHES = ["score", "predicted", "slot", "position", "source_block", "ordinal", "digest", "doc", "key", "first", "kept", "part", "_file", "_row", "_source", "_hash", "row", "node", "parts", "pattern"]
+
+
+def test_stages_return_given_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = labelled(rng, 120)
+    texts = [(i, t) for i, t, _ in rows] + [(1, "another text under a known id " + words(rng, 30)), (2, None), (2, ""), (None, "no id " + words(rng, 30)), (None, "no id")]
+    docs = [(i, t, rng.choice(["a", None]), *[f"{c} {k}" for c in CLASHES]) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
+    now = spark.createDataFrame(docs, schema).repartition(2)
+    spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = Counter(docs)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/s{k}")
+        now = spark.read.parquet(f"{tmp_path}/s{k}")
+        assert now.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        kept = Counter(tuple(r) for r in now.collect())
+        assert not kept - given
+        given = kept
+    last = corpus_pipeline.STAGES[3][1](spark, now, str(tmp_path))
+    assert sorted(r.position for r in last.collect()) == list(range(sum(given.values())))
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    import corpus_pipeline
+
+    docs = [(3, "a b c d e f g", "x"), (3, "u v w x y z q", "x"), (5, "A b c d e f g", "x"), (3, "a b c d e f g", "x"), (9, "U V w x y z q", "y"), (3, "A B c d e f g", "x")]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), "")
+    texts = sorted(r.text.lower() for r in got.collect())
+    assert texts == ["a b c d e f g", "u v w x y z q"] and {r.doc_id for r in got.collect()} == {3}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
