@@ -12,14 +12,14 @@ The schedule is worked out on the driver, a step for each block that exists (a h
 nothing), and goes to the documents as 16 bytes a block, a byte a document: by broadcast up to
 BROADCAST_BLOCKS, beyond that by a join on runs of RUN blocks.  All else is DataFrame functions.
 Documents of a source are numbered in three levels (about CHUNK rows, CHUNK chunks, chunks of chunks), so
-that no task holds a whole source, however large.
+that no task holds a whole source, however large, nor all rows of a key that repeats unless they are the same throughout.
 
 Only if a period is asked for are weights rounded, to whole parts of it that sum to it (parts_of), and
 the bound holds for those.
 
 Defined results: a null source is a source of its own; documents that repeat each have a position; a
 source without a given weight, or weights that do not name all sources, is an error, as is a weight so
-small that a slot passes 2^63; the order within a source is by a hash of the key; other columns are
+small that a slot passes 2^63; the order within a source is by hashes of the row and the key; other columns are
 passed on; no rows give no rows.
 """
 
@@ -120,16 +120,18 @@ def _few(frame: DataFrame, rows: int) -> DataFrame:
 def numbered(rows: DataFrame, group: str, key: str, sizes: DataFrame, groups: int) -> DataFrame:
     """rows with column ordinal, from 0 in each group, in three levels of prefix sums; sizes has (group, rows), a row for each of the groups."""
     width = F.greatest(F.ceil(F.col("_rows") / CHUNK), F.lit(1)).cast("long")
-    hashed = rows.join(_few(sizes.withColumnRenamed("rows", "_rows"), groups), group).withColumn("_hash", F.xxhash64(key)).withColumn("_chunk", F.pmod(F.col("_hash"), width)).drop("_rows")
+    plain = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    hashed = rows.join(_few(sizes.withColumnRenamed("rows", "_rows"), groups), group).withColumn("_hash", F.xxhash64(key)).withColumn("_whole", F.xxhash64(key, *plain))
+    hashed = hashed.withColumn("_chunk", F.pmod(F.col("_whole"), width)).drop("_rows")
     chunks = hashed.groupBy(group, "_chunk").agg(F.count("*").alias("_n")).withColumn("_over", F.floor(F.col("_chunk") / CHUNK))
     over = chunks.groupBy(group, "_over").agg(F.sum("_n").alias("_m"))
     before = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     over = over.select(group, "_over", before("_m", W.partitionBy(group).orderBy("_over")).alias("_far"))
     chunks = chunks.withColumn("_near", before("_n", W.partitionBy(group, "_over").orderBy("_chunk"))).join(over, [group, "_over"])
     chunks = chunks.select(group, "_chunk", (F.col("_near") + F.col("_far")).alias("_base"))
-    own = W.partitionBy(group, "_chunk").orderBy("_hash", key)
+    own = W.partitionBy(group, "_chunk").orderBy("_hash", key, "_whole")
     placed = hashed.withColumn("_own", F.row_number().over(own) - 1).join(chunks, [group, "_chunk"])
-    return placed.withColumn("ordinal", F.col("_own") + F.col("_base")).drop("_hash", "_chunk", "_own", "_base")
+    return placed.withColumn("ordinal", F.col("_own") + F.col("_base")).drop("_hash", "_whole", "_chunk", "_own", "_base")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
