@@ -139,7 +139,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     added = ["source_block", "slot", "position"]
     columns = [c for c in docs.columns if c not in added]
     label = F.struct(F.col(source_col).isNull(), F.col(source_col)).cast("struct<a: boolean, b: string>").cast("string").alias("_source")
-    keyed = docs.select(*[F.col(c).alias("_given") if c == "ordinal" else F.col(c) for c in columns], label)
+    keyed = docs.select(F.struct(*columns).alias("_doc"), F.col(key_col).alias("_key"), label)  # whatever the given columns are called
     counted = docs.groupBy(source_col).agg(F.count("*").alias("rows")).select(source_col, "rows", label).orderBy(source_col).collect()  # a row for each source of the mixture
     if not counted:
         return docs.select(*columns, *[F.lit(None).cast("long").alias(c) for c in added])
@@ -163,9 +163,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     table = spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*runs, strict=True), kinds, strict=True)], names=[n for n, _ in kinds]))
     sizes = spark.createDataFrame(pa.table({"_source": [r["_source"] for r in counted], "rows": pa.array([r.rows for r in counted], pa.int64())}))
 
-    rows = numbered(keyed, "_source", key_col, sizes, len(counted))
+    rows = numbered(keyed, "_source", "_key", sizes, len(counted))
     rows = rows.withColumn("source_block", F.floor(F.col("ordinal") / block)).withColumn("_run", F.floor(F.col("source_block") / RUN))
     rows = rows.join(_few(table, sum(map(len, slots))), ["_source", "_run"])
     at = lambda c: F.get(c, F.pmod("source_block", F.lit(RUN)).cast("int"))
-    given = [F.col("_given").alias(c) if c == "ordinal" else F.col(c) for c in columns]
-    return rows.select(*given, "source_block", at("_slots").alias("slot"), (at("_before") + F.pmod("ordinal", F.lit(block))).alias("position"))
+    return rows.select("_doc.*", "source_block", at("_slots").alias("slot"), (at("_before") + F.pmod("ordinal", F.lit(block))).alias("position"))

@@ -307,6 +307,16 @@ def test_exact_slots_stay_within_a_block_of_the_weights_given(weights):
         assert -1 < b - t * w < 1 and -1 < b + 1 - (t + 1) * w < 1
 
 
+def test_mix_with_clashing_columns_and_repeated_keys(spark):
+    names = ["parts", "pattern", "_hash", "_chunk", "_n", "_source", "_slots", "_run", "_before", "ordinal", "_doc", "_key", "rows", "_salt"]
+    rows = [(None if i % 3 else i, "a" if i % 4 else None, *[f"{n}{i}" for n in names]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    got = mixing.mix(df).collect()
+    assert Counter(tuple(r)[: len(names) + 2] for r in got) == Counter(rows)
+    assert sorted(r.position for r in got) == list(range(400))
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_mix_holds_the_weights_given_over_long_inputs_and_many_sources(spark):
     # 1,000 documents a block each; rounded to parts of 2,048 the rare source would lie five times too near.
     rows = [(i, "rare" if i % 100 == 0 else "hot") for i in range(3000)]
