@@ -16,26 +16,31 @@ def _quoted(s: str) -> str:
 
 
 def license_sql() -> str:
-    counts = {(n, t): licenses.terms_of(x).count(t) for n, x in licenses.TEMPLATES.items() for t in set(licenses.terms_of(x))}
-    template = ", ".join(f"({_quoted(n)}, {_quoted(t)}, {c})" for (n, t), c in sorted(counts.items()))
-    return f"""WITH tpl AS (SELECT * FROM (VALUES {template}) v(name, term, tf)),
-files AS (SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(floor(doc_id / 64.0) AS BIGINT)) AS folder FROM documents),
-lines AS (SELECT doc_id, row_number() OVER () AS line_id, line FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM files)),
-words AS (SELECT doc_id, line_id, term, count(*) AS tf FROM (SELECT doc_id, line_id, unnest(regexp_extract_all(lower(line), '{_TERM}')) AS term FROM lines) WHERE term IN (SELECT term FROM tpl) GROUP BY ALL),
-n AS (SELECT count(DISTINCT line_id) AS n FROM words),
-idf AS (SELECT t.term, ln(1 + (SELECT n FROM n) / CAST(greatest(coalesce(d.df, 0), 1) AS DOUBLE)) AS w FROM (SELECT DISTINCT term FROM tpl) t LEFT JOIN (SELECT term, count(*) AS df FROM words GROUP BY 1) d USING (term)),
-tv AS (SELECT name, term, tf * w AS x FROM tpl JOIN idf USING (term)),
-tn AS (SELECT name, sqrt(sum(x * x)) AS size FROM tv GROUP BY 1),
-lv AS (SELECT doc_id, line_id, term, tf * w AS x FROM words JOIN idf USING (term)),
-ln_ AS (SELECT line_id, sqrt(sum(x * x)) AS size FROM lv GROUP BY 1),
-cosines AS (SELECT lv.doc_id, lv.line_id, tv.name, sum(lv.x * tv.x) / (max(ln_.size) * max(tn.size)) AS score FROM lv JOIN tv USING (term) JOIN ln_ USING (line_id) JOIN tn USING (name) GROUP BY 1, 2, 3),
-best AS (SELECT doc_id, name, score FROM cosines WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, name) = 1),
-heads AS (SELECT folder, min(doc_id) AS doc_id FROM files GROUP BY 1),
-given AS (SELECT folder, name FROM heads JOIN best USING (doc_id))
+    template = ", ".join(f"({_quoted(n)}, {k}, {_quoted(t)}, {c})" for n, k, t, c in licenses.template_terms())
+    marks = lambda x: "(" + " OR ".join(f"contains(lower({x}), {_quoted(m)})" for m in licenses.MARKS) + ")"
+    stop = ", ".join(map(_quoted, sorted(licenses.STOP)))
+    return rf"""WITH tpl AS (SELECT * FROM (VALUES {template}) v(name, number, term, tf)),
+d AS (SELECT doc_id, text, coalesce(source, 'none') AS d1, coalesce(lang, 'none') AS d2, CAST(CAST(floor(doc_id / 4096.0) AS BIGINT) AS VARCHAR) AS d3, CAST(CAST(floor(doc_id / 64.0) AS BIGINT) AS VARCHAR) AS d4 FROM documents),
+l AS (SELECT *, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY d1) THEN 1 WHEN doc_id = min(doc_id) OVER (PARTITION BY d1, d2) THEN 2 WHEN doc_id = min(doc_id) OVER (PARTITION BY d1, d2, d3) THEN 3 WHEN doc_id = min(doc_id) OVER (PARTITION BY d1, d2, d3, d4) THEN 4 END AS level FROM d),
+files AS (SELECT doc_id, level IS NOT NULL AS is_license, array_to_string(list_slice([d1, d2, d3, d4], 1, coalesce(level, 4)), '/') AS folder FROM l),
+lines AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS lines FROM documents WHERE {marks("text")}),
+blocks AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(array_to_string(list_transform(lines, lambda x: CASE WHEN regexp_matches(lower(x), '[a-z0-9]') THEN x ELSE '' END), chr(10)), '^\n+|\n+$', '', 'g'), '\n\n+'), lambda x: contains(x, chr(10))) AS blocks FROM lines),
+units AS (SELECT doc_id, row_number() OVER () AS unit, u FROM (SELECT doc_id, unnest(lines) AS u FROM lines UNION ALL SELECT doc_id, unnest(blocks) FROM blocks) WHERE {marks("u")}),
+words AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(u), '{_TERM}')) AS term FROM units) WHERE term NOT IN ({stop}) GROUP BY ALL),
+n AS (SELECT count(DISTINCT unit) AS n FROM words),
+df AS (SELECT term, count(*) AS df FROM words GROUP BY 1),
+x AS (SELECT doc_id, unit, term, tf * ln(1 + n / CAST(df AS DOUBLE)) AS x FROM words JOIN df USING (term), n),
+y AS (SELECT name, number, term, tf * ln(1 + n / CAST(greatest(coalesce(df, 0), 1) AS DOUBLE)) AS y FROM tpl LEFT JOIN df USING (term), n),
+ys AS (SELECT number, sqrt(sum(y * y)) AS size FROM y GROUP BY 1),
+xs AS (SELECT unit, sqrt(sum(x * x)) AS size FROM x GROUP BY 1),
+cosines AS (SELECT x.doc_id, x.unit, y.name, y.number, sum(x.x * y.y) / (max(xs.size) * max(ys.size)) AS score FROM x JOIN y USING (term) JOIN xs USING (unit) JOIN ys USING (number) GROUP BY 1, 2, 3, 4),
+best AS (SELECT doc_id, name, score FROM cosines WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY name = '{licenses.RESERVED}', round(score, 9) DESC, name) = 1),
+given AS (SELECT folder, name FROM files JOIN best USING (doc_id) WHERE is_license),
+near AS (SELECT f.folder, max_by(g.name, length(g.folder)) AS name, max_by(g.folder, length(g.folder)) AS above FROM (SELECT DISTINCT folder FROM files) f JOIN given g ON f.folder = g.folder OR starts_with(f.folder, g.folder || '/') GROUP BY 1)
 SELECT f.doc_id, f.folder || '/' || f.doc_id AS path, b.name AS license, coalesce(round(b.score, 6), 0.0) AS score,
 CASE WHEN b.name IS NOT NULL THEN 'own' WHEN g.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_source,
-CASE WHEN b.name IS NULL AND g.name IS NOT NULL THEN f.folder END AS inherited_from, coalesce(b.name, g.name) AS effective_license
-FROM files f LEFT JOIN best b USING (doc_id) LEFT JOIN given g ON g.folder = f.folder"""
+CASE WHEN b.name IS NULL THEN g.above END AS inherited_from, coalesce(b.name, g.name) AS effective_license
+FROM files f LEFT JOIN best b USING (doc_id) LEFT JOIN near g ON g.folder = f.folder"""
 
 
 WARC = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

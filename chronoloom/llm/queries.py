@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,21 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents as files source/lang/<64 ids>/<id>; the first document of a directory stands for its licence file."""
+    """Licences of all documents as files of a tree source/lang/<4096 ids>/<64 ids>.
+
+    The table has no paths, so the first document of every directory of every level lies in that directory, not below
+    it (in the highest, if it is the first of several), and stands for its licence file.
+    """
     docs = _table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 64))
-    files = docs.select("doc_id", "text", folder.alias("folder"))
-    heads = files.groupBy("folder").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("head"))
-    files = licenses.own_licenses(files).drop("text").join(heads, "doc_id", "left")
-    files = files.select("doc_id", F.concat_ws("/", "folder", F.col("doc_id")).alias("path"), F.coalesce("head", F.lit(False)).alias("is_license"), "license", "score")
+    parts = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string")]
+    names = [f"d{k}" for k in range(len(parts))]
+    placed = docs.select("doc_id", "text", *[p.alias(n) for p, n in zip(parts, names, strict=True)])
+    firsts = [placed.groupBy(*names[: k + 1]).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(k + 1).alias("level")) for k in range(len(parts))]
+    level = functools.reduce(DataFrame.unionByName, firsts).groupBy("doc_id").agg(F.min("level").alias("level"))
+    # Text is read once: the places are joined to what the scan of it leaves.
+    whole = licenses.own_licenses(placed).join(level.hint("shuffle_hash"), "doc_id", "left")
+    folder = F.concat_ws("/", F.slice(F.array(*names), F.lit(1), F.coalesce("level", F.lit(len(parts)))))
+    files = whole.select("doc_id", F.concat_ws("/", folder, F.col("doc_id")).alias("path"), F.col("level").isNotNull().alias("is_license"), "license", "score")
     found = licenses.inherited(files)
     return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), "license_source", "inherited_from", "effective_license")
 

@@ -195,35 +195,79 @@ def test_hostile_pages_take_time_in_proportion(page):
     assert time.process_time() - began < 5
 
 
-def plain_licenses(lines_of, templates, threshold):
-    vocabulary = {t for x in templates.values() for t in licenses.terms_of(x)}
-    lines = [[t for t in licenses.terms_of(x) if t in vocabulary] for text in lines_of.values() for x in (text or "").split("\n")]
-    lines = [x for x in lines if x]
-    df = Counter(t for x in lines for t in set(x))
-    weight = lambda ts: {t: c * math.log(1 + len(lines) / max(1, df[t])) for t, c in Counter(ts).items()}
-    vectors = {n: weight(licenses.terms_of(x)) for n, x in templates.items()}
-    out = {}
-    for i, text in lines_of.items():
-        best = (0.0, None)
-        for line in (text or "").split("\n"):
-            w = weight([t for t in licenses.terms_of(line) if t in vocabulary])
-            for name in sorted(vectors):
-                v = vectors[name]
-                size = math.sqrt(sum(x * x for x in w.values())) * math.sqrt(sum(x * x for x in v.values()))
-                s = sum(w[t] * v.get(t, 0) for t in w) / size if size else 0.0
-                if s > best[0] + 1e-9 or (abs(s - best[0]) <= 1e-9 and best[1] and name < best[1]):
-                    best = (s, name)
-        out[i] = best if best[0] >= threshold else (0.0, None)
-    return out
+def plain_licenses(texts, templates, threshold, whole=()):
+    """(score, name) of each text's best unit, by the formula in plain Python."""
+    marked = lambda x: any(m in x.lower() for m in licenses.MARKS)
+    units = []
+    for i, text in texts.items():
+        if not text or not marked(text):
+            continue
+        lines = text.replace("\r\n", "\n").split("\n")
+        runs, run = [], []
+        for line in [*lines, ""]:
+            if any(c.isascii() and (c.isalpha() or c.isdigit()) for c in line.lower()):
+                run.append(line)
+            else:
+                runs.append(run)
+                run = []
+        every = lines + ["\n".join(r) for r in runs if len(r) > 1] + ([text] if i in whole else [])
+        units += [(i, licenses.terms_of(u)) for u in every if marked(u)]
+    units = [(i, u) for i, u in units if u]
+    df = Counter(t for _, u in units for t in set(u))
+    weight = lambda ts: {t: c * math.log(1 + len(units) / max(1, df[t])) for t, c in Counter(ts).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(n, weight(licenses.terms_of(x))) for n, xs in templates.items() for x in ([xs] if isinstance(xs, str) else xs)]
+    out = dict.fromkeys(texts, (True, 0.0, None))
+    for i, u in units:
+        w = weight(u)
+        for name, v in vectors:
+            s = sum(x * v.get(t, 0) for t, x in w.items()) / (size(w) * size(v))
+            if s >= threshold:
+                out[i] = min(out[i], (name == licenses.RESERVED, -round(s, 9), name), key=lambda o: (o[2] is None, *o[:2], o[2] or ""))
+    return {i: (-o[1], o[2]) for i, o in out.items()}
+
+
+def wrapped(text, mark, width=60):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(line)
+            line = ""
+        line += word + " "
+    return "\n".join(f"{mark} {x}" for x in [*lines, line])
+
+
+PROSE = "the market opened early and people came from far away\nto see what the reserved old man had to sell, right there\nby the river where the copyright office stood, with no rights to speak of"
+SOURCES = {
+    0: "x\nReleased under the MIT License.\ny",
+    1: "licensed UNDER the apache license, version 2.0",
+    2: "nothing",
+    3: None,
+    4: "",
+    5: "All rights reserved.\nReleased under the MIT License.",
+    6: "/*\n" + wrapped(licenses.TEMPLATES["GPL-3.0"][3], " *") + "\n */\n\nint main() { return 0; }\n",
+    7: "#!/bin/sh\n# SPDX-License-Identifier: MPL-2.0\necho hi",
+    8: "Mozilla Public License Version 2.0\n==================================\n",
+    9: "// Copyright 2020 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.\n\npackage x",
+    10: PROSE,
+    11: "\n\n".join(x for x in [licenses.TEMPLATES["MIT"][2].partition(" The above")[0], licenses.TEMPLATES["MIT"][2].partition("Software. ")[2]]),
+    12: "--\r\n" + wrapped(licenses.TEMPLATES["AGPL-3.0"][3], "--").replace("\n", "\r\n") + "\r\n\r\nselect 1",
+    13: wrapped(licenses.TEMPLATES["Unlicense"][1], "") + "\n",
+    14: "licence " * 4000,
+    15: "All rights reserved.",
+    16: "rights " * 400,
+    17: "# -*- coding -*-\n" + wrapped(licenses.TEMPLATES["Apache-2.0"][2], "#") + "\nimport os",
+}
+NAMES = {0: "MIT", 1: "Apache-2.0", 5: "MIT", 6: "GPL-3.0", 7: "MPL-2.0", 8: "MPL-2.0", 9: "BSD-3-Clause", 11: "MIT", 12: "AGPL-3.0", 13: "Unlicense", 15: "proprietary", 17: "Apache-2.0"}
 
 
 def test_licenses_match_plain_cosines(spark):
-    texts = dict(enumerate(["x\nReleased under the MIT License.\ny", "licensed UNDER the apache license, version 2.0", "nothing", None, "", "All rights reserved.\nReleased under the MIT License.", "GNU General Public License", "version of the public", "This work is licensed under the GNU General Public License, version 3." * 3, "rights " * 400]))
-    files = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "id long, text string, license string")
-    got = {r.id: (r.score, r.license) for r in licenses.own_licenses(files).collect()}
-    want = plain_licenses(texts, licenses.TEMPLATES, licenses.THRESHOLD)
-    for i in texts:
-        assert got[i][1] == want[i][1] and got[i][0] == pytest.approx(want[i][0])
+    files = spark.createDataFrame([(i, t, "clash", i == 11) for i, t in SOURCES.items()], "id long, text string, license string, file boolean").repartition(3)
+    got = {r.id: (r.score, r.license) for r in licenses.own_licenses(files, file_col="file").collect()}
+    want = plain_licenses(SOURCES, licenses.TEMPLATES, licenses.THRESHOLD, whole={11})
+    for i in SOURCES:
+        assert got[i][1] == want[i][1] == NAMES.get(i), i
+        assert got[i][0] == pytest.approx(want[i][0], abs=1e-8)
     assert licenses.own_licenses(files.limit(0)).count() == 0
     assert {r.license for r in licenses.own_licenses(files, {}).collect()} == {None}
 
