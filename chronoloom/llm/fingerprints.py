@@ -143,7 +143,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE) -> DataFrame:
-    """Each text's fingerprint, and that of its edited text: its last quarter of code points replaced by the start of the next document.
+    """Each text's fingerprint, and that of its edited text (its last quarter of code points replaced by the start of the next document), with their likeness, the share of its shingles that the edited text holds, and their number.
 
     Documents follow in ascending doc_id, a null one first, equal ids by text; the first follows the last.
     """
@@ -156,7 +156,7 @@ def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE) -> Da
                 k = len(text) // 4
                 edited.append(text[: len(text) - k] + after[:k])
             own, new, following = (list(s[:size] for s in shingle_sets(pa.array(x, pa.large_string()), n)) for x in (texts, edited, [r[2] for r in rows]))
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_in_edited", "distinct_shingles"]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -166,11 +166,13 @@ def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE) -> Da
                     pa.array([base64.b64encode(pack(s)).decode() for s in new], pa.string()),
                     pa.array([resemblance(a, b, size) for a, b in zip(own, new, strict=True)], pa.float64()),
                     pa.array([resemblance(a, b, size) for a, b in zip(own, following, strict=True)], pa.float64()),
+                    pa.array([containment(a, b, size) for a, b in zip(own, new, strict=True)], pa.float64()),
+                    pa.array([distinct(a, size) for a in own], pa.float64()),
                 ],
                 names=names,
             )
 
-    return with_successors(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_successors(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_edited double, distinct_shingles double")
 
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
