@@ -10,7 +10,9 @@ is dropped.
 
 The schedule is worked out on the driver, a step for each block that exists (a heap; empty slots cost
 nothing), and goes to the documents as 16 bytes a block, a byte a document: by broadcast up to
-BROADCAST_BLOCKS, beyond that by a join on runs of RUN blocks.  All else is DataFrame functions.
+BROADCAST_BLOCKS, beyond that by a join on runs of RUN blocks.  So that the driver's work is bounded at
+any size, a block has as many documents more than asked for as it takes for BLOCKS blocks to hold all; the deviation
+is then below one such block, a part in BLOCKS of the input.  All else is DataFrame functions.
 Documents of a source are numbered in three levels (about CHUNK rows, CHUNK chunks, chunks of chunks), so
 that no task holds a whole source, however large, nor all rows of a key that repeats unless they are the same throughout.
 
@@ -29,7 +31,6 @@ import heapq
 import math
 from fractions import Fraction
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 BLOCK, CHUNK = 16, 1024
 #: Blocks in a row of the schedule's table, and blocks (or sources) that are broadcast at most.
 RUN, BROADCAST_BLOCKS = 4096, 2_000_000
+#: Blocks of a schedule, about, and sources at most.
+BLOCKS = 4_000_000
 #: Where no weights are given, they are in proportion to the sources' sizes to this power.
 TEMPERATURE = 0.5
 
@@ -140,10 +143,13 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     columns = [c for c in docs.columns if c not in added]
     label = F.struct(F.col(source_col).isNull(), F.col(source_col)).cast("struct<a: boolean, b: string>").cast("string").alias("_source")
     keyed = docs.select(F.struct(*columns).alias("_doc"), F.col(key_col).alias("_key"), label)  # whatever the given columns are called
-    counted = docs.groupBy(source_col).agg(F.count("*").alias("rows")).select(source_col, "rows", label).orderBy(source_col).collect()  # a row for each source of the mixture
+    counted = docs.groupBy(source_col).agg(F.count("*").alias("rows")).select(source_col, "rows", label).orderBy(source_col).limit(BLOCKS + 1).collect()  # a row for each source of the mixture
     if not counted:
         return docs.select(*columns, *[F.lit(None).cast("long").alias(c) for c in added])
     names = [r[0] for r in counted]
+    if len(names) > BLOCKS:
+        raise ValueError(f"more than {BLOCKS} sources")
+    block = max(block, -(-sum(r.rows for r in counted) // BLOCKS))
     if weights is not None and set(weights) != set(names):
         raise ValueError(f"weights must name the sources {names}")
     target = [weights[s] if weights is not None else r.rows**TEMPERATURE for s, r in zip(names, counted, strict=True)]
@@ -159,9 +165,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
         raise ValueError("a weight is too small: its slots pass 2^63")
     spark = docs.sparkSession
     runs = [(r["_source"], k // RUN, slots[i][k : k + RUN], before[i][k : k + RUN]) for i, r in enumerate(counted) for k in range(0, len(slots[i]), RUN)]
-    kinds = [("_source", pa.string()), ("_run", pa.int64()), ("_slots", pa.list_(pa.int64())), ("_before", pa.list_(pa.int64()))]
-    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*runs, strict=True), kinds, strict=True)], names=[n for n, _ in kinds]))
-    sizes = spark.createDataFrame(pa.table({"_source": [r["_source"] for r in counted], "rows": pa.array([r.rows for r in counted], pa.int64())}))
+    table = spark.createDataFrame(runs, "_source string, _run long, _slots array<long>, _before array<long>")
+    sizes = spark.createDataFrame([(r["_source"], r.rows) for r in counted], "_source string, rows long")
 
     rows = numbered(keyed, "_source", "_key", sizes, len(counted))
     rows = rows.withColumn("source_block", F.floor(F.col("ordinal") / block)).withColumn("_run", F.floor(F.col("source_block") / RUN))

@@ -351,6 +351,16 @@ def test_exact_slots_stay_within_a_block_of_the_weights_given(weights):
         assert -1 < b - t * w < 1 and -1 < b + 1 - (t + 1) * w < 1
 
 
+def test_blocks_grow_so_that_the_schedule_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    rows = [(i, "abc"[min(2, i % 7)]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights={"a": 3, "b": 2, "c": 5}).collect()
+    assert sorted(r.position for r in got) == list(range(3000)) and max(r.slot for r in got) < 500
+    assert max(Counter((r.source, r.source_block) for r in got).values()) == 60
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(spark.range(60).selectExpr("id as doc_id", "cast(id as string) as source"))
+
+
 def test_mix_with_clashing_columns_and_repeated_keys(spark):
     names = ["parts", "pattern", "_hash", "_chunk", "_n", "_source", "_slots", "_run", "_before", "ordinal", "_doc", "_key", "rows", "_salt"]
     rows = [(None if i % 3 else i, "a" if i % 4 else None, *[f"{n}{i}" for n in names]) for i in range(400)]
