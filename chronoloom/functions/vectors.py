@@ -44,19 +44,27 @@ def rescaled(neighbour: Column, context: Column, query: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean", least_overlap: float = 0.8) -> Column:
-    """Distance over the places where both have a value; null where fewer than the least share have."""
-    pairs = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: z["a"].isNotNull() & z["b"].isNotNull())
-    n = F.size(a)
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, z: s + f(z["a"], z["b"]))
-    enough = F.size(pairs) >= F.greatest(F.lit(1), F.ceil(n * least_overlap))
-    if metric == "euclidean":
-        value = F.sqrt(total(lambda x, y: (x - y) * (x - y)) * n / F.size(pairs))
-    elif metric == "cosine":
-        norm = F.sqrt(total(lambda x, y: x * x)) * F.sqrt(total(lambda x, y: y * y))
-        value = F.when(norm > LEAST_SCALE, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(total(lambda x, y: x * y), norm))))
-    else:
+    """Distance over the places where both have a value; null where fewer than the least share have.  One pass over the arrays."""
+    if metric not in ("euclidean", "cosine"):
         raise ValueError(f"no such metric: {metric}")
-    return F.when(enough, value)
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    terms = {"square": lambda x, y: (x - y) * (x - y)} if metric == "euclidean" else {"dot": lambda x, y: x * y, "left": lambda x, y: x * x, "right": lambda x, y: y * y}
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("length"), *[F.lit(0.0).alias(t) for t in terms])
+
+    def add(s: Column, z: Column) -> Column:
+        both = z["a"].isNotNull() & z["b"].isNotNull()
+        sums = [F.when(both, s[t] + f(z["a"], z["b"])).otherwise(s[t]).alias(t) for t, f in terms.items()]
+        return F.struct(F.when(both, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["length"] + 1).alias("length"), *sums)
+
+    def value(s: Column) -> Column:
+        if metric == "euclidean":
+            found = F.sqrt(s["square"] * s["length"] / F.nullif(s["n"], F.lit(0)))
+        else:
+            norm = F.sqrt(s["left"]) * F.sqrt(s["right"])
+            found = F.when(norm > LEAST_SCALE, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(s["dot"], norm))))
+        return F.when(s["n"] >= F.greatest(F.lit(1), F.ceil(s["length"] * least_overlap)), found)
+
+    return F.aggregate(pairs, start, add, value)
 
 
 def aligned(past: Column, future: Column, context: int, horizon: int) -> Column:

@@ -7,6 +7,10 @@ both sides, filtered by the time at which a candidate's future is known.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +52,114 @@ def nearest(pairs: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
 
 
+#: References of a block and queries of a batch; a task holds one of each.
+BLOCK, BATCH = 4096, 512
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Arrays of equal length as rows, NaN where a value is missing."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def masked_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", least_overlap: float = 0.8) -> np.ndarray:
+    """Distances of all pairs of rows over the places where both have a value; NaN where fewer than the least share have."""
+    has_a, has_b = ~np.isnan(a), ~np.isnan(b)
+    x, y, n = np.where(has_a, a, 0.0), np.where(has_b, b, 0.0), a.shape[1]
+    both = has_a.astype(float) @ has_b.T.astype(float)
+    left, right, dot = (x * x) @ has_b.T, has_a @ (y * y).T, x @ y.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "euclidean":
+            found = np.sqrt(np.maximum(left + right - 2 * dot, 0.0) * n / both)
+        elif metric == "cosine":
+            norm = np.sqrt(left) * np.sqrt(right)
+            found = np.where(norm > 1e-8, 1 - np.clip(dot / norm, -1.0, 1.0), np.nan)
+        else:
+            raise ValueError(f"no such metric: {metric}")
+    return np.where(both >= max(1, np.ceil(n * least_overlap)), found, np.nan)
+
+
+def nearest_blocks(queries: DataFrame, store: DataFrame, stride: int, horizon: int, k: int, scope: str = "all", metric: str = "euclidean") -> DataFrame:
+    """query_id, rank, ref_id, distance: what nearest gives on the pairs of eligible, without making them.
+
+    Each phase's references are dealt into blocks of about BLOCK, as many as its count asks for, and go to
+    one task each; queries, which are fewer, go to every block of their phase.  A task takes distances by matrix products and keeps k
+    of each query; those near the k-th are worked out again one by one, so that ties are those of equal vectors.
+    """
+    if scope not in SCOPES:
+        raise ValueError(f"no such scope: {scope}")
+    phase = F.pmod("tick", F.lit(stride)).cast("long")
+    series = F.concat_ws("/", F.col("item").cast("string"), F.col("channel").cast("string"))
+    q, d = (x.select(phase.alias("phase"), "ref_id", series.alias("series"), F.col("tick").cast("long").alias("tick"), "rep") for x in (queries, store))
+    sizes = d.groupBy("phase").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))  # a row for each phase
+    d = d.join(F.broadcast(sizes), "phase").withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts"))).withColumn("side", F.lit(0))
+    q = q.join(F.broadcast(sizes), "phase").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    columns = ["phase", "part", "side", "ref_id", "series", "tick", "rep"]
+    rows = q.select(*columns).unionByName(d.select(*columns)).repartition("phase", "part").sortWithinPartitions("phase", "part", "side")
+
+    def best(block: tuple, ids: list, names: np.ndarray, ticks: np.ndarray, reps: np.ndarray) -> list[tuple[str, str, float]]:
+        far = masked_distances(reps, block[3], metric)
+        allowed = block[2][None, :] + horizon <= ticks[:, None]
+        if scope != "all":
+            allowed &= (names[:, None] == block[1][None, :]) == (scope == "same_series")
+        far = np.where(allowed & ~np.isnan(far), far, np.inf)
+        out = []
+        for i, row in enumerate(far):
+            edge = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+            some = np.flatnonzero(row <= (edge + 1e-6 * (1 + edge) if np.isfinite(edge) else np.finfo(float).max))
+            exact = sorted((_exact(reps[i], block[3][j], metric), block[0][j]) for j in some)
+            out += [(ids[i], ref, float(x)) for x, ref in exact[:k]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                *where, side = (int(x) for x in places[:, a])
+                if key != where:
+                    key, held, block = where, [], None
+                part = batch.slice(a, b - a)
+                if side == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    block = (whole.column(3).to_pylist(), np.array(whole.column(4).to_pylist()), whole.column(5).to_numpy(), _vectors(whole.column(6).combine_chunks()))
+                for at in range(0, part.num_rows, BATCH):
+                    some = part.slice(at, BATCH)
+                    found = best(block, some.column(3).to_pylist(), np.array(some.column(4).to_pylist()), some.column(5).to_numpy(), _vectors(some.column(6)))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "ref_id", "distance"])
+
+    found = rows.mapInArrow(run, "query_id string, ref_id string, distance double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
+
+
+def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> float:
+    both = ~np.isnan(a) & ~np.isnan(b)
+    x, y = a[both], b[both]
+    if metric == "euclidean":
+        return float(np.sqrt(((x - y) ** 2).sum() * len(a) / both.sum()))
+    return float(1 - np.clip((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())), -1.0, 1.0))
+
+
+def scope_counts(queries: DataFrame, store: DataFrame, stride: int, horizon: int) -> DataFrame:
+    """query_id, eligible, same_series, other_series: candidates of each query by scope, in one join without vectors; queries without any have no row."""
+    phase = F.pmod("tick", F.lit(stride))
+    q, d = (x.select("ref_id", "item", "channel", "tick", phase.alias("_phase")) for x in (queries, store))
+    per = d.groupBy("_phase", "item", "channel", "tick").agg(F.count("*").alias("n"))
+    joined = q.alias("q").join(per.alias("d"), (F.col("q._phase") == F.col("d._phase")) & (F.col("d.tick") + horizon <= F.col("q.tick")))
+    same = (F.col("q.item") == F.col("d.item")) & (F.col("q.channel") == F.col("d.channel"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("d.n"))), F.lit(0))
+    return joined.groupBy(F.col("q.ref_id").alias("query_id")).agg(F.sum("d.n").alias("eligible"), total(same).alias("same_series"), total(~same).alias("other_series"))
+
+
 def coverage(queries: DataFrame, pairs: DataFrame, metric: str = "euclidean") -> DataFrame:
     """query_id, eligible, comparable: how many candidates a query has, and how many have a distance to it."""
     counted = pairs.groupBy("query_id").agg(F.count("*").alias("eligible"), F.count(distance(F.col("q_rep"), F.col("d_rep"), metric)).alias("comparable"))

@@ -141,13 +141,14 @@ def require_dates(refs: DataFrame, least: int) -> None:
         raise ValueError(f"at least {least} dates for each series are needed; the least covered has {have}")
 
 
-def rolling_origins(queries: DataFrame, series: DataFrame, p: Preparation, count: int) -> DataFrame:
-    """query_id, item, origin: the newest count origins of each item that end before a query (query_id, item, tick), congruent to it by the period, each a fitting stride from the next."""
+def rolling_origins(queries: DataFrame, series: DataFrame, p: Preparation, count: int, stride: int | None = None) -> DataFrame:
+    """query_id, item, origin: the newest count origins of each item that end before a query (query_id, item, tick), the newest congruent to it by the period, each a stride (by default the datastore's) from the next."""
+    stride = stride or p.datastore_stride
     last = F.least(F.col("tick") - p.horizon, F.col("start_tick") + F.col("length") - p.horizon)
     last = last - F.pmod(last - F.col("tick"), F.lit(p.period)) - F.col("start_tick")
     rows = queries.join(series, "item").withColumn("_last", last).where(F.col("_last") >= p.context)
-    n = F.least(F.lit(count) - 1, F.floor((F.col("_last") - p.context) / p.datastore_stride))
-    back = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.col("_last") - i * p.datastore_stride)
+    n = F.least(F.lit(count) - 1, F.floor((F.col("_last") - p.context) / stride))
+    back = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.col("_last") - i * stride)
     return rows.select("query_id", "item", F.explode(back).alias("origin"))
 
 

@@ -9,30 +9,42 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import forecast, metrics, retrieval, ridge, series, windows
 from ..operators.series import SERIES
+from ..sources.stages import stored
 from .registry import query, r
 from .series_queries import HOURS, ORIGINS, PANEL, PREP, STORE, H, L, M, hourly_panel, naive_cells, prepared
 
 K = 3
 _REF = "item || '/' || channel || '/' || origin"
-#: Representations of test queries and datastore references of channel 0, one row for each step.
+_CHANNELS = "(SELECT unnest([0, 1]) AS channel)"
+_REFS = f"(SELECT item, channel, origin, split FROM {ORIGINS}, {_CHANNELS} WHERE split = 'test' UNION ALL SELECT item, channel, origin, 'datastore' FROM {STORE}, {_CHANNELS})"
+#: Representations of test queries and datastore references, one row for each step.
 REPS = (
     PANEL
-    + f", refs AS (SELECT {_REF} AS ref_id, * FROM (SELECT item, 0 AS channel, origin, split FROM {ORIGINS} WHERE split = 'test' UNION ALL SELECT item, 0, origin, 'datastore' FROM {STORE})), raw AS (SELECT r.ref_id, r.split, r.item, r.channel, r.origin, p.t - r.origin + {L} AS i, p.y FROM refs r JOIN panel p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin - {L} AND p.t < r.origin), rep AS (SELECT *, (y - avg(y) OVER w) / greatest(stddev_pop(y) OVER w, 1e-8) AS x FROM raw WINDOW w AS (PARTITION BY ref_id))"
+    + f", refs AS (SELECT {_REF} AS ref_id, * FROM {_REFS}), raw AS (SELECT r.ref_id, r.split, r.item, r.channel, r.origin, p.t - r.origin + {L} AS i, p.y FROM refs r JOIN panel p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin - {L} AND p.t < r.origin), rep AS (SELECT *, (y - avg(y) OVER w) / greatest(stddev_pop(y) OVER w, 1e-8) AS x FROM raw WINDOW w AS (PARTITION BY ref_id))"
 )
 PAIRS = (
-    ", q AS (SELECT * FROM rep WHERE split = 'test'), s AS (SELECT * FROM rep WHERE split = 'datastore'), dist AS (SELECT q.ref_id AS query_id, s.ref_id, q.item AS q_item, s.item AS s_item, count(CASE WHEN q.x IS NOT NULL AND s.x IS NOT NULL THEN 1 END) AS overlap, sqrt(sum((q.x - s.x) * (q.x - s.x)) * "
+    ", q AS (SELECT * FROM rep WHERE split = 'test'), s AS (SELECT * FROM rep WHERE split = 'datastore'), dist AS (SELECT q.ref_id AS query_id, s.ref_id, q.item || '/' || q.channel AS q_item, s.item || '/' || s.channel AS s_item, count(CASE WHEN q.x IS NOT NULL AND s.x IS NOT NULL THEN 1 END) AS overlap, sqrt(sum((q.x - s.x) * (q.x - s.x)) * "
     + f"{L} / nullif(count(CASE WHEN q.x IS NOT NULL AND s.x IS NOT NULL THEN 1 END), 0)) AS euclid, 1 - greatest(-1, least(1, sum(q.x * s.x) / nullif(sqrt(sum(CASE WHEN s.x IS NOT NULL THEN q.x * q.x END)) * sqrt(sum(CASE WHEN q.x IS NOT NULL THEN s.x * s.x END)), 0))) AS cosine FROM q JOIN s ON q.i = s.i AND (q.origin - s.origin) % 24 = 0 AND s.origin + {H} <= q.origin GROUP BY 1, 2, 3, 4), near AS (SELECT query_id, ref_id, q_item, s_item, euclid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY euclid, ref_id) AS INTEGER) AS rank FROM dist WHERE overlap >= ceil({L} * 0.8))"
 )
 
 
 def references(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Test queries and datastore references of channel 0, with ref_id, context, target and rep."""
-    refs = prepared(spark, sf_dir).where("channel = 0 and split in ('test', 'datastore')")
-    made = windows.materialise(refs, series.arrays(hourly_panel(spark, sf_dir)), L, H)
-    made = made.withColumn("ref_id", F.concat_ws("/", "item", F.col("channel").cast("string"), F.col("origin").cast("string"))).withColumn("rep", vectors.normalised(F.col("context")))
+    """Test queries and datastore references, with ref_id, context, target and rep; worked out once."""
+
+    def build() -> DataFrame:
+        refs = prepared(spark, sf_dir).where("split in ('test', 'datastore')")
+        made = windows.materialise(refs, series.arrays(hourly_panel(spark, sf_dir)), L, H)
+        return made.withColumn("ref_id", F.concat_ws("/", "item", F.col("channel").cast("string"), F.col("origin").cast("string"))).withColumn("rep", vectors.normalised(F.col("context")))
+
+    made = stored(spark, f"{sf_dir}/events.parquet", "references", build)
     return made.where("split = 'test'"), made.where("split = 'datastore'")
 
 
+def neighbours(spark, sf_dir, k: int = K) -> DataFrame:
+    asked, store = references(spark, sf_dir)
+    return retrieval.nearest_blocks(asked, store, PREP.datastore_stride, H, k)
+
+
 def pairs(spark, sf_dir, scope: str = "all") -> DataFrame:
     asked, store = references(spark, sf_dir)
     return retrieval.eligible(asked, store, PREP.datastore_stride, H, scope)
@@ -52,14 +64,12 @@ def e1_masked_distances(spark, sf_dir):
 
 @query(REPS + PAIRS + " SELECT query_id, count(*) AS eligible, count(CASE WHEN q_item = s_item THEN 1 END) AS same_series, count(CASE WHEN q_item <> s_item THEN 1 END) AS other_series FROM dist GROUP BY 1")
 def j6_chronological_join(spark, sf_dir):
-    asked, store = references(spark, sf_dir)
-    n = lambda scope: retrieval.eligible(asked, store, 24, H, scope).groupBy("query_id").agg(F.count("*").alias("eligible" if scope == "all" else scope))
-    return n("all").join(n("same_series"), "query_id", "left").join(n("other_series"), "query_id", "left").fillna(0)
+    return retrieval.scope_counts(*references(spark, sf_dir), PREP.datastore_stride, H)
 
 
 @query(
     PANEL
-    + f"SELECT q.item || '/0/' || q.origin AS query_id, count(*) AS eligible FROM (SELECT * FROM {ORIGINS} WHERE split = 'test') q, (SELECT * FROM {STORE}) s WHERE least(q.origin - {H}, 300) - (least(q.origin - {H}, 300) - q.origin % 24 + 240) % 24 >= s.origin AND (least(q.origin - {H}, 300) - (least(q.origin - {H}, 300) - q.origin % 24 + 240) % 24 - s.origin) % 24 = 0 GROUP BY 1"
+    + f"SELECT q.item || '/' || q.channel || '/' || q.origin AS query_id, count(*) AS eligible FROM (SELECT * FROM {ORIGINS}, {_CHANNELS} WHERE split = 'test') q, (SELECT * FROM {STORE}, {_CHANNELS}) s WHERE least(q.origin - {H}, 300) - (least(q.origin - {H}, 300) - q.origin % 24 + 240) % 24 >= s.origin AND (least(q.origin - {H}, 300) - (least(q.origin - {H}, 300) - q.origin % 24 + 240) % 24 - s.origin) % 24 = 0 GROUP BY 1"
 )
 def j6_fixed_end_join(spark, sf_dir):
     asked, store = references(spark, sf_dir)
@@ -69,7 +79,7 @@ def j6_fixed_end_join(spark, sf_dir):
 
 @query(REPS + PAIRS + f" SELECT query_id, rank, ref_id, " + r("euclid") + f" AS distance FROM near WHERE rank <= {K}")
 def j7_nearest_neighbours(spark, sf_dir):
-    return retrieval.nearest(pairs(spark, sf_dir), K)
+    return neighbours(spark, sf_dir)
 
 
 @query(REPS + PAIRS + f" SELECT query_id, count(*) AS eligible, count(CASE WHEN overlap >= ceil({L} * 0.8) THEN 1 END) AS comparable FROM dist GROUP BY 1")
@@ -77,12 +87,12 @@ def j7_neighbour_coverage(spark, sf_dir):
     return retrieval.coverage(references(spark, sf_dir)[0], pairs(spark, sf_dir))
 
 
-_FILLED = PANEL + f", refs AS (SELECT {_REF} AS ref_id, * FROM (SELECT item, 0 AS channel, origin, split FROM {ORIGINS} WHERE split = 'test' UNION ALL SELECT item, 0, origin, 'datastore' FROM {STORE})), rep AS (SELECT r.ref_id, r.split, r.item, r.origin, p.t - r.origin AS i, p.filled AS x FROM refs r JOIN filled p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin - {L} AND p.t < r.origin)"
+_FILLED = PANEL + f", refs AS (SELECT {_REF} AS ref_id, * FROM {_REFS}), rep AS (SELECT r.ref_id, r.split, r.item, r.channel, r.origin, p.t - r.origin AS i, p.filled AS x FROM refs r JOIN filled p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin - {L} AND p.t < r.origin)"
 
 
-@query(_FILLED + f", dist AS (SELECT q.ref_id AS query_id, s.ref_id, sum((q.x - s.x) * (q.x - s.x)) AS d FROM rep q JOIN rep s ON q.item = s.item AND q.i = s.i WHERE q.split = 'test' AND s.split = 'datastore' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rn, count(*) OVER (PARTITION BY query_id) AS n FROM dist) SELECT query_id, ref_id, " + r("d") + f" AS distance, CAST(rn AS INTEGER) AS rank FROM k WHERE n > {K} AND rn <= {K}")
+@query(_FILLED + f", dist AS (SELECT q.ref_id AS query_id, s.ref_id, sum((q.x - s.x) * (q.x - s.x)) AS d FROM rep q JOIN rep s ON q.item = s.item AND q.channel = s.channel AND q.i = s.i WHERE q.split = 'test' AND s.split = 'datastore' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rn, count(*) OVER (PARTITION BY query_id) AS n FROM dist) SELECT query_id, ref_id, " + r("d") + f" AS distance, CAST(rn AS INTEGER) AS rank FROM k WHERE n > {K} AND rn <= {K}")
 def j8_flat_search(spark, sf_dir):
-    refs = prepared(spark, sf_dir).where("channel = 0 and split in ('test', 'datastore')")
+    refs = prepared(spark, sf_dir).where("split in ('test', 'datastore')")
     filled = series.arrays(series.forward_fill(hourly_panel(spark, sf_dir)), "filled")
     made = windows.materialise(refs, filled, L, H).select("item", "channel", "split", F.concat_ws("/", "item", F.col("channel").cast("string"), F.col("origin").cast("string")).alias("ref_id"), F.col("context").alias("rep"))
     return retrieval.flat_search(made.where("split = 'test'"), made.where("split = 'datastore'"), K)
@@ -92,7 +102,7 @@ def j8_flat_search(spark, sf_dir):
 def j11_neighbour_futures(spark, sf_dir):
     _, store = references(spark, sf_dir)
     values = store.select("ref_id", vectors.mean(F.col("target")).alias("m"))
-    g = retrieval.gather(retrieval.nearest(pairs(spark, sf_dir), K), values, "m", K)
+    g = retrieval.gather(neighbours(spark, sf_dir), values, "m", K)
     return g.select("query_id", F.size("neighbours").cast("long").alias("neighbours"), vectors.mean(F.col("neighbours")).alias("mean_future"))
 
 
@@ -101,7 +111,7 @@ def j11_neighbour_futures(spark, sf_dir):
 )
 def e3_rescaled_neighbours(spark, sf_dir):
     asked, store = references(spark, sf_dir)
-    first = retrieval.nearest(pairs(spark, sf_dir), 1).select("query_id", "ref_id")
+    first = neighbours(spark, sf_dir, 1).select("query_id", "ref_id")
     near = first.join(store.select("ref_id", F.col("context").alias("n_context"), "target"), "ref_id").join(asked.select(F.col("ref_id").alias("query_id"), "context"), "query_id")
     return near.select("query_id", F.posexplode(vectors.rescaled(F.col("target"), F.col("n_context"), F.col("context"))).alias("h", "y"))
 
@@ -111,10 +121,10 @@ def e4_query_scale(spark, sf_dir):
     return references(spark, sf_dir)[0].select("ref_id", F.greatest(vectors.std_pop(F.col("context")), F.lit(1e-8)).alias("query_scale"))
 
 
-@query(PANEL + f"SELECT w.item, w.origin, CAST(t - w.origin + {L} + 8 AS INTEGER) AS i, " + r("p.y") + f" AS y FROM wins w JOIN panel p ON p.item = w.item AND p.channel = 0 AND p.t >= w.origin - {L} AND p.t < w.origin + {H} UNION ALL SELECT item, origin, CAST(k AS INTEGER), NULL FROM wins, (SELECT unnest(range(8)) AS k)")
+@query(PANEL + f"SELECT w.item, p.channel, w.origin, CAST(t - w.origin + {L} + 8 AS INTEGER) AS i, " + r("p.y") + f" AS y FROM wins w JOIN panel p ON p.item = w.item AND p.t >= w.origin - {L} AND p.t < w.origin + {H} UNION ALL SELECT item, channel, origin, CAST(k AS INTEGER), NULL FROM wins, {_CHANNELS}, (SELECT unnest(range(8)) AS k)")
 def e8_aligned_sequences(spark, sf_dir):
     asked = references(spark, sf_dir)[0]
-    return asked.select("item", "origin", F.posexplode(vectors.aligned(F.col("context"), F.col("target"), L + 8, H)).alias("i", "y"))
+    return asked.select("item", "channel", "origin", F.posexplode(vectors.aligned(F.col("context"), F.col("target"), L + 8, H)).alias("i", "y"))
 
 
 # Ridge adaptors: V is the seasonal-naive forecast, C that of a week's season.
@@ -241,7 +251,7 @@ def g16_horizon_ridge(spark, sf_dir):
 def g35_eligibility_reasons(spark, sf_dir):
     asked, store = references(spark, sf_dir)
     whole = lambda c: F.forall(c, lambda x: x.isNotNull())
-    near = retrieval.nearest(pairs(spark, sf_dir), K).join(store.select("ref_id", whole("target").alias("ok")), "ref_id")
+    near = neighbours(spark, sf_dir).join(store.select("ref_id", whole("target").alias("ok")), "ref_id")
     per = near.groupBy(F.col("query_id").alias("ref_id")).agg(F.count("*").alias("neighbours"), F.bool_and("ok").alias("neighbour_finite"))
     rows = asked.select("ref_id", whole("target").alias("target_finite")).join(per, "ref_id", "left").fillna({"neighbours": 0, "neighbour_finite": False})
     rows = rows.withColumns({"vanilla_finite": F.lit(True), "covariate_finite": F.lit(True), "scale": F.lit(1.0)})
@@ -252,24 +262,24 @@ def g35_eligibility_reasons(spark, sf_dir):
 
 
 def contexts(spark, sf_dir) -> DataFrame:
-    return references(spark, sf_dir)[0].select("item", "origin", "context")
+    return references(spark, sf_dir)[0].select("item", "channel", "origin", "context")
 
 
-@query(PANEL + f", f AS (SELECT *, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY item, origin ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(y IGNORE NULLS) OVER (PARTITION BY item, origin ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS x FROM (SELECT w.item, w.origin, p.t, p.y FROM wins w JOIN panel p ON p.item = w.item AND p.channel = 0 AND p.t >= w.origin - {L} AND p.t < w.origin)) SELECT item, origin, CAST(t - origin + {M} AS INTEGER) AS h, " + r("x") + f" AS yhat FROM f WHERE t >= origin - {M}")
+@query(PANEL + f", f AS (SELECT *, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY item, channel, origin ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(y IGNORE NULLS) OVER (PARTITION BY item, channel, origin ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS x FROM (SELECT w.item, p.channel, w.origin, p.t, p.y FROM wins w JOIN panel p ON p.item = w.item AND p.t >= w.origin - {L} AND p.t < w.origin)) SELECT item, channel, origin, CAST(t - origin + {M} AS INTEGER) AS h, " + r("x") + f" AS yhat FROM f WHERE t >= origin - {M}")
 def u1_seasonal_naive_forecaster(spark, sf_dir):
-    made = forecast.forecast(contexts(spark, sf_dir), lambda: forecast.SeasonalNaive(M), H, ["item", "origin"])
-    return forecast.long_form(made, ["item", "origin"])
+    made = forecast.forecast(contexts(spark, sf_dir), lambda: forecast.SeasonalNaive(M), H, ["item", "channel", "origin"])
+    return forecast.long_form(made, ["item", "channel", "origin"])
 
 
 @query()
 def u1_drift_forecaster(spark, sf_dir):
-    return forecast.long_form(forecast.forecast(contexts(spark, sf_dir), forecast.Drift, H, ["item", "origin"]), ["item", "origin"])
+    return forecast.long_form(forecast.forecast(contexts(spark, sf_dir), forecast.Drift, H, ["item", "channel", "origin"]), ["item", "channel", "origin"])
 
 
 @query()
 def r4_retrieval_forecaster(spark, sf_dir):
     asked, store = references(spark, sf_dir)
-    scaled = retrieval.nearest(pairs(spark, sf_dir), K)
+    scaled = neighbours(spark, sf_dir)
     whole = store.where(F.forall("target", lambda x: x.isNotNull())).select("ref_id", "target")
     near = scaled.join(whole, "ref_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "target"))), lambda x: x["target"]).alias("near"))
     rows = asked.select(F.col("ref_id").alias("query_id"), "context").join(near, "query_id", "left")
@@ -317,14 +327,14 @@ def g9_statistics_grid(spark, sf_dir):
 
 @query(REPS + PAIRS + " SELECT k, query_id, count(*) AS neighbours, " + r("max(euclid)") + " AS farthest FROM near, (SELECT unnest([1, 2, 3]) AS k) WHERE rank <= k GROUP BY 1, 2")
 def s2_prefix_neighbours(spark, sf_dir):
-    near = retrieval.nearest(pairs(spark, sf_dir), K)
+    near = neighbours(spark, sf_dir)
     each = near.select("*", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).where("rank <= k")
     return each.groupBy("k", "query_id").agg(F.count("*").alias("neighbours"), F.max("distance").alias("farthest"))
 
 
-@query(PANEL + f"SELECT w.item, w.origin, count(*) AS n, " + r("avg(p.filled)") + f" AS mean FROM wins w JOIN filled p ON p.item = w.item AND p.channel = 0 AND p.t >= w.origin - 512 AND p.t < w.origin + {H} GROUP BY 1, 2")
+@query(PANEL + f"SELECT w.item, p.channel, w.origin, count(*) AS n, " + r("avg(p.filled)") + f" AS mean FROM wins w JOIN filled p ON p.item = w.item AND p.t >= w.origin - 512 AND p.t < w.origin + {H} GROUP BY 1, 2, 3")
 def c15_long_context_windows(spark, sf_dir):
-    refs = prepared(spark, sf_dir).where("channel = 0 and split = 'test'").drop("split", "tick")
+    refs = prepared(spark, sf_dir).where("split = 'test'").drop("split", "tick")
     m = windows.materialise(refs, series.arrays(series.forward_fill(hourly_panel(spark, sf_dir)), "filled"), 512, H)
     whole = F.concat("context", "target")
-    return m.select("item", "origin", F.size(whole).cast("long").alias("n"), vectors.mean(whole).alias("mean"))
+    return m.select("item", "channel", "origin", F.size(whole).cast("long").alias("n"), vectors.mean(whole).alias("mean"))

@@ -9,14 +9,18 @@ from ..functions import columns, vectors
 from ..operators import audit, features, metrics, screening, series, windows
 from ..operators.series import SERIES
 from ..sources import tables
+from ..sources.stages import stored
 from .registry import query, r, table
 
-#: The panel's hours, counted from its start in seconds; parts and windows of its series.
+#: The panel's hours, counted from its start in seconds; an event outside them is an error.  Parts and windows of its series.
 HOURS, START = 720, 1704067200
+#: Users of a cohort: series are event types within cohorts, so that there are more of them where there are more users.
+COHORT = 150
 TEST, VAL, H, L, M = 96, 96, 24, 48, 24
 PREP = windows.Preparation(test_length=TEST, horizon=H, context=L, period=24, fitting_stride=23, datastore_stride=24)
 
-PANEL = f"""WITH e AS (SELECT event_type AS item, CAST(floor((epoch_us(ts) - {START}000000) / 3600000000.0) AS BIGINT) AS t, CAST(round(value * 100) AS BIGINT) AS c, value FROM events),
+_ITEM = f"event_type || '-' || CAST(user_id // {COHORT} AS VARCHAR)"
+PANEL = f"""WITH e AS (SELECT {_ITEM} AS item, CAST(floor((epoch_us(ts) - {START}000000) / 3600000000.0) AS BIGINT) AS t, CAST(round(value * 100) AS BIGINT) AS c, value FROM events),
 agg AS (SELECT item, t, CAST(sum(c) AS DOUBLE) / 100 AS s, max(value) AS m FROM e GROUP BY item, t),
 grid AS (SELECT item, channel, t FROM (SELECT DISTINCT item FROM e) i, (SELECT unnest([0, 1]) AS channel) v, (SELECT unnest(range({HOURS})) AS t) h),
 panel AS (SELECT g.item, g.channel, g.t, CASE WHEN g.channel = 0 THEN s ELSE m END AS y FROM grid g LEFT JOIN agg USING (item, t)),
@@ -28,30 +32,38 @@ cells AS (SELECT w.item, p.channel, w.win, w.origin, CAST(h AS INTEGER) AS h, p.
 """
 
 
-def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item (event type), channel (0: sum, 1: largest value), t (hour), y: every hour, null where nothing happened."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("item"), F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"), "value")
+def _hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    hour = F.when((hour >= 0) & (hour < HOURS) & (F.col("ts") >= F.lit("2024-01-01")), hour).otherwise(F.raise_error(F.lit("an event lies outside the panel's hours")).cast("long"))
+    item = F.concat("event_type", F.lit("-"), F.floor(F.col("user_id") / COHORT).cast("string"))
+    e = table(spark, sf_dir, "events").select(item.alias("item"), hour.alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"), "value")
     agg = e.groupBy("item", "t").agg((F.sum("c").cast("double") / 100).alias("s"), F.max("value").alias("m"))
     grid = e.select("item").distinct().select("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("t"))
     rows = grid.join(agg, ["item", "t"], "left").select("item", "t", F.posexplode(F.array("s", "m")).alias("channel", "y"))
     return rows.select("item", "channel", "t", "y")
 
 
+def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item (event type and cohort of users), channel (0: sum, 1: largest value), t (hour), y: every hour, null where nothing happened; worked out once."""
+    return stored(spark, f"{sf_dir}/events.parquet", "panel", lambda: _hourly_panel(spark, sf_dir))
+
+
 def filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.forward_fill(hourly_panel(spark, sf_dir))
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.lengths(hourly_panel(spark, sf_dir)).withColumn("start_tick", F.lit(START // 3600))
+    made = lambda: windows.lengths(hourly_panel(spark, sf_dir)).withColumn("start_tick", F.lit(START // 3600))
+    return stored(spark, f"{sf_dir}/events.parquet", "lengths", made)
 
 
 def test_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.holdout_windows(lengths(spark, sf_dir), TEST, VAL, H).where("split = 'test'").drop("split")
 
 
-def naive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets, seasonal-naive forecasts and scales of the official windows."""
-    panel, wins = hourly_panel(spark, sf_dir), test_windows(spark, sf_dir)
+def naive_cells(spark: SparkSession, sf_dir: str, wins: DataFrame | None = None) -> DataFrame:
+    """Targets, seasonal-naive forecasts and scales of the official windows, or of those given."""
+    panel, wins = hourly_panel(spark, sf_dir), test_windows(spark, sf_dir) if wins is None else wins
     points = metrics.seasonal_naive(series.forward_fill(panel), wins, M, H)
     truth = metrics.actuals(panel, wins, H).drop("origin")
     scales = series.prefix_scales(panel, M).select(*SERIES, "origin", F.col("mase_scale").alias("scale"))
@@ -84,16 +96,16 @@ def a7_long_panel_tail(spark, sf_dir):
 def item_frame(spark, sf_dir) -> DataFrame:
     arrays = series.arrays(hourly_panel(spark, sf_dir))
     agg = arrays.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("channel", "values"))).alias("c"))
-    return agg.select(F.col("item").alias("item_id"), F.transform("c", lambda x: x["values"]).alias("target"), F.when(F.col("item") == "view", F.array(F.lit("total"), F.lit("largest"))).alias("variate_names"))
+    return agg.select(F.col("item").alias("item_id"), F.transform("c", lambda x: x["values"]).alias("target"), F.when(F.col("item").startswith("view-"), F.array(F.lit("total"), F.lit("largest"))).alias("variate_names"))
 
 
-@query(PANEL + "SELECT item, channel, CASE WHEN item = 'view' THEN CASE channel WHEN 0 THEN 'total' ELSE 'largest' END ELSE 'dim_' || channel END AS name, count(*) AS n, count(y) AS observed, " + r("sum(y)") + " AS total FROM panel GROUP BY 1, 2, 3")
+@query(PANEL + "SELECT item, channel, CASE WHEN item LIKE 'view-%' THEN CASE channel WHEN 0 THEN 'total' ELSE 'largest' END ELSE 'dim_' || channel END AS name, count(*) AS n, count(y) AS observed, " + r("sum(y)") + " AS total FROM panel GROUP BY 1, 2, 3")
 def a8_items_to_panel(spark, sf_dir):
     p = tables.panel_of(item_frame(spark, sf_dir))
     return p.groupBy("item", "channel", "name").agg(F.count("*").alias("n"), F.count("y").alias("observed"), F.sum("y").alias("total"))
 
 
-@query("SELECT 'view' AS item_id, 0 AS channel, 'total' AS name UNION ALL SELECT 'view', 1, 'largest'")
+@query(f"SELECT item AS item_id, channel, name FROM (SELECT DISTINCT {_ITEM} AS item FROM events), (VALUES (0, 'total'), (1, 'largest')) v(channel, name) WHERE item LIKE 'view-%'")
 def a9_identity_scan(spark, sf_dir):
     return tables.identities(item_frame(spark, sf_dir).where("variate_names is not null"))
 
@@ -129,9 +141,9 @@ def b10_json_path_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(test).alias("matching"))
 
 
-@query(PANEL + "SELECT item, channel, count(*) AS n, " + r("sum(y)") + " AS total FROM panel WHERE channel = 0 AND item <> 'error' GROUP BY 1, 2")
+@query(PANEL + "SELECT item, channel, count(*) AS n, " + r("sum(y)") + " AS total FROM panel WHERE channel = 0 AND item <> 'error-0' GROUP BY 1, 2")
 def b13_drop_variates(spark, sf_dir):
-    p = screening.drop_variates(hourly_panel(spark, sf_dir), channels=[1], items=["error"])
+    p = screening.drop_variates(hourly_panel(spark, sf_dir), channels=[1], items=["error-0"])
     return p.groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum("y").alias("total"))
 
 
@@ -144,7 +156,7 @@ def b16_context_tail(spark, sf_dir):
 
 # Window planning
 
-_ITEMS = "(SELECT DISTINCT event_type AS item FROM events)"
+_ITEMS = f"(SELECT DISTINCT {_ITEM} AS item FROM events)"
 
 
 @query(f"SELECT item, 'test' AS split, CAST(k AS INTEGER) AS win, {HOURS - TEST} + k * {H} AS origin FROM {_ITEMS}, (SELECT unnest(range({TEST // H})) AS k) UNION ALL SELECT item, 'val', CAST(k AS INTEGER), {HOURS - TEST - VAL} + k * {H} FROM {_ITEMS}, (SELECT unnest(range({VAL // H})) AS k)")
@@ -215,10 +227,10 @@ def c11_preparation_summary(spark, sf_dir):
     return prepared(spark, sf_dir).groupBy("split").agg(F.count("*").alias("refs"), F.min("origin").alias("first_origin"), F.max("origin").alias("last_origin"))
 
 
-@query(f"SELECT query_id, item, origin FROM (SELECT q.item || '/' || q.origin AS query_id, s.item, x AS origin, row_number() OVER (PARTITION BY q.item, q.origin, s.item ORDER BY x DESC) AS r FROM (SELECT * FROM {ORIGINS} WHERE split = 'test') q JOIN {_ITEMS} s ON s.item = q.item, (SELECT unnest(range({HOURS})) AS x) x WHERE x >= {L} AND x <= q.origin - {H} AND (q.origin - x) % 24 = 0) WHERE r <= 6")
+@query(f"SELECT query_id, item, origin FROM (SELECT q.item || '/' || q.origin AS query_id, s.item, x AS origin, row_number() OVER (PARTITION BY q.item, q.origin, s.item ORDER BY x DESC) AS r FROM (SELECT * FROM {ORIGINS} WHERE split = 'test') q JOIN {_ITEMS} s ON s.item = q.item, (SELECT unnest(range({HOURS})) AS x) x WHERE x >= {L} AND x <= q.origin - {H} AND (q.origin - {H} - (q.origin - {H} - q.origin % 24) % 24 - x) % 23 = 0 AND (q.origin - {H} - x) >= 0) WHERE r <= 6")
 def c12_rolling_origins(spark, sf_dir):
     ask = prepared(spark, sf_dir, False).where("split = 'test'").select(F.concat_ws("/", "item", F.col("origin").cast("string")).alias("query_id"), "item", "tick")
-    return windows.rolling_origins(ask, lengths(spark, sf_dir), PREP, 6)
+    return windows.rolling_origins(ask, lengths(spark, sf_dir), PREP, 6, PREP.fitting_stride)
 
 
 @query(PANEL + f"SELECT w.item, p.channel, w.origin, " + r(f"sum(CASE WHEN p.t < w.origin THEN y END)") + " AS context_sum, " + r("sum(CASE WHEN p.t >= w.origin THEN y END)") + f" AS target_sum, count(*) AS n FROM wins w JOIN panel p ON p.item = w.item AND p.t >= w.origin - {L} AND p.t < w.origin + {H} GROUP BY 1, 2, 3")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import exists
+
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -36,10 +38,8 @@ def upsert_cache(frame: DataFrame, path: str, keys: list[str], checkpoint: str)
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(keys)
-        try:
-            held = batch.sparkSession.read.parquet(path).select(*keys)
-        except Exception:  # no cache yet
-            held = new.select(*keys).limit(0)
-        new.join(held, keys, "left_anti").write.mode("append").parquet(path)
+        if exists(batch.sparkSession, path):
+            new = new.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+        new.write.mode("append").parquet(path)
 
     frame.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
