@@ -25,22 +25,32 @@ def mean(a: Column) -> Column:
     return F.try_divide(_sum(present(a)), F.size(present(a)))
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that it needs more than once, worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def std_pop(a: Column) -> Column:
-    m = mean(a)
-    return F.sqrt(F.try_divide(_sum(F.transform(present(a), lambda x: (x - m) * (x - m))), F.size(present(a))))
+    def spread(z: Column) -> Column:
+        return F.sqrt(F.try_divide(_sum(F.transform(z["x"], lambda x: (x - z["m"]) * (x - z["m"]))), F.size(z["x"])))
+
+    return bound(F.struct(present(a).alias("x"), mean(a).alias("m")), spread)
+
+
+def _level(a: Column) -> Column:
+    """The mean m and the population deviation s (1e-8 at least)."""
+    return F.struct(mean(a).alias("m"), F.greatest(std_pop(a), F.lit(LEAST_SCALE)).alias("s"))
 
 
 def normalised(a: Column) -> Column:
     """Instance normalisation: less the mean, by the population deviation (1e-8 at least)."""
-    m, s = mean(a), F.greatest(std_pop(a), F.lit(LEAST_SCALE))
-    return F.transform(a, lambda x: (x - m) / s)
+    return bound(_level(a), lambda z: F.transform(a, lambda x: (x - z["m"]) / z["s"]))
 
 
 def rescaled(neighbour: Column, context: Column, query: Column) -> Column:
     """A neighbour's values at the level and scale of a query's context."""
-    m, s = mean(context), F.greatest(std_pop(context), F.lit(LEAST_SCALE))
-    qm, qs = mean(query), F.greatest(std_pop(query), F.lit(LEAST_SCALE))
-    return F.transform(neighbour, lambda x: (x - m) / s * qs + qm)
+    both = F.struct(_level(context).alias("c"), _level(query).alias("q"))
+    return bound(both, lambda z: F.transform(neighbour, lambda x: (x - z["c"]["m"]) / z["c"]["s"] * z["q"]["s"] + z["q"]["m"]))
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean", least_overlap: float = 0.8) -> Column:
