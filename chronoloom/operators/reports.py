@@ -122,14 +122,17 @@ def timing_summary(times: DataFrame, keys: list[str]) -> DataFrame:
     return times.groupBy(*keys).agg(F.avg("seconds").alias("mean_s"), p(0.5).alias("median_s"), p(0.95).alias("p95_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), F.count("*").alias("runs"))
 
 
-def select_runs(runs: DataFrame, config_policy: str = "error", repeat_policy: str = "selected", filters: Column | None = None) -> DataFrame:
+def select_runs(runs: DataFrame, config_policy: str = "error", repeat_policy: str = "selected", filters: Column | None = None, values: list[str] | None = None) -> DataFrame:
     """Completed runs by policy; runs has identity, config, run, stamp, status, selected.
 
-    Configurations of an identity: error (if several), distinct, latest, average (both of these keep all).
+    Configurations of an identity: error (if several), distinct, latest, average.
     Repeats of a configuration: selected (else the latest), latest, distinct, average.
+    average takes the mean of values and leaves out what tells the averaged apart (run, stamp and selected, and of configurations also config).
     """
     if config_policy not in ("error", "distinct", "latest", "average") or repeat_policy not in ("selected", "latest", "distinct", "average"):
         raise ValueError("no such policy")
+    if "average" in (config_policy, repeat_policy) and not values:
+        raise ValueError("averages need values")
     done = runs.where("status = 'completed'")
     done = done if filters is None else done.where(filters)
     if config_policy == "error":
@@ -143,20 +146,33 @@ def select_runs(runs: DataFrame, config_policy: str = "error", repeat_policy: st
         first = [F.desc("selected")] if repeat_policy == "selected" else []
         order = W.partitionBy("identity", "config").orderBy(*first, F.desc("stamp"), F.desc("run"))
         done = done.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    means = [F.avg(v).alias(v) for v in values or []]
+    if repeat_policy == "average":
+        done = done.groupBy("identity", "config").agg(*means)
+    if config_policy == "average":
+        done = done.groupBy("identity").agg(*means)
     return done
 
 
-def exactly_one(frame: DataFrame, keys: list[str]) -> DataFrame:
+def inexact_matches(frame: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with other than one row: what an exact match must not have."""
     return frame.groupBy(*keys).agg(F.count("*").alias("matches")).where("matches <> 1")
 
 
+def exactly_one(frame: DataFrame, condition: Column) -> dict:
+    """The only row that meets a condition; none or several are an error."""
+    rows = frame.where(condition).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("no row matches" if not rows else "several rows match")
+    return rows[0].asDict()
+
+
 def reason_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("rows"))
 
 
 def balanced_sample(rows: DataFrame, series: list[str], key: str, n: int, seed: int) -> DataFrame:
     """n rows, taken from the series in turns, in a seeded random order within each."""
-    mixed = F.xxhash64(F.lit(seed), F.col(key))
-    turn = rows.withColumn("_turn", F.row_number().over(W.partitionBy(*series).orderBy(mixed, key)))
-    return turn.orderBy("_turn", F.xxhash64(F.lit(seed + 1), *series), *series).limit(n).drop("_turn")
+    mixed = lambda by, *columns: F.md5(F.concat_ws("/", F.lit(by), *[F.col(c).cast("string") for c in columns]))
+    turn = rows.withColumn("_turn", F.row_number().over(W.partitionBy(*series).orderBy(mixed(seed, key), key))).where(F.col("_turn") <= n)
+    return turn.orderBy("_turn", mixed(seed + 1, *series), *series).limit(n).drop("_turn")

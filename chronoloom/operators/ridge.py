@@ -189,6 +189,16 @@ def choose(losses: DataFrame, task: list[str], horizon: int, stride: int, b: Boo
     return losses.groupBy(*task).applyInPandas(run, schema)
 
 
+def sliding_statistics(design: DataFrame, keys: list[str], date: str, f: int, dates: int) -> DataFrame:
+    """keys, date and the statistics of the newest dates up to each: those of a date are added as it comes and taken off again as it leaves, which the frame of a window function does."""
+    from pyspark.sql import Window as W
+
+    newest = W.partitionBy(*keys).orderBy(date).rowsBetween(1 - dates, 0)
+    daily = statistics(design, [*keys, date], f)
+    total = lambda name, size: F.array(*[F.sum(F.get(name, F.lit(i))).over(newest) for i in range(size)]).alias(name)
+    return daily.select(*keys, date, total("xtx", f * (f + 1) // 2), total("xty", f), *[F.sum(c).over(newest).alias(c) for c in ("yy", "rows", "windows")])
+
+
 def horizon_ridge(fitting: DataFrame, queries: DataFrame, f: int, alpha: float, least: int = 64, most: int = 100) -> DataFrame:
     """query_id, h, beta: a ridge for every query and step over its newest dates; queries of fewer than least have none.
 

@@ -7,13 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import forecast, metrics, retrieval, ridge, series, windows
+from ..operators import evaluation, extraction, family, forecast, metrics, retrieval, ridge, series, windows
 from ..operators.series import SERIES
 from ..sources.stages import stored
 from .registry import query, r
-from .series_queries import HOURS, ORIGINS, PANEL, PREP, STORE, H, L, M, hourly_panel, naive_cells, prepared
+from .series_queries import HOURS, ORIGINS, PANEL, PREP, STORE, TEST, H, L, M, hourly_panel, lengths, naive_cells, prepared
 
 K = 3
+#: Numbers of neighbours that extraction makes forecasts from.
+KS = (1, 3)
 _REF = "item || '/' || channel || '/' || origin"
 _CHANNELS = "(SELECT unnest([0, 1]) AS channel)"
 _REFS = f"(SELECT item, channel, origin, split FROM {ORIGINS}, {_CHANNELS} WHERE split = 'test' UNION ALL SELECT item, channel, origin, 'datastore' FROM {STORE}, {_CHANNELS})"
@@ -28,16 +30,36 @@ PAIRS = (
 )
 
 
+def made_references(refs: DataFrame, panel: DataFrame) -> DataFrame:
+    made = windows.materialise(refs, series.arrays(panel), L, H)
+    return made.withColumn("ref_id", F.concat_ws("/", "item", F.col("channel").cast("string"), F.col("origin").cast("string"))).withColumn("rep", vectors.normalised(F.col("context")))
+
+
+def all_references(spark, sf_dir) -> DataFrame:
+    """References of all splits and channels, with ref_id, context, target and rep; worked out once."""
+    return stored(spark, f"{sf_dir}/events.parquet", "references", lambda: made_references(prepared(spark, sf_dir), hourly_panel(spark, sf_dir)))
+
+
 def references(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Test queries and datastore references, with ref_id, context, target and rep; worked out once."""
+    """Test queries and datastore references."""
+    made = all_references(spark, sf_dir)
+    return made.where("split = 'test'"), made.where("split = 'datastore'")
+
+
+def extracted(spark, sf_dir) -> DataFrame:
+    """Every reference of training, validation and test with its forecasts and neighbours, as one task, hours without a value taking that of the hour before if it has one; worked out once."""
 
     def build() -> DataFrame:
-        refs = prepared(spark, sf_dir).where("split in ('test', 'datastore')")
-        made = windows.materialise(refs, series.arrays(hourly_panel(spark, sf_dir)), L, H)
-        return made.withColumn("ref_id", F.concat_ws("/", "item", F.col("channel").cast("string"), F.col("origin").cast("string"))).withColumn("rep", vectors.normalised(F.col("context")))
+        before = F.lag("y").over(W.partitionBy(*SERIES).orderBy("t"))
+        patched = hourly_panel(spark, sf_dir).withColumn("y", F.coalesce("y", before))
+        every = stored(spark, f"{sf_dir}/events.parquet", "patched", lambda: made_references(prepared(spark, sf_dir), patched))
+        store = every.where("split = 'datastore'")
+        scales = series.prefix_scales(hourly_panel(spark, sf_dir), M).select(*SERIES, "origin", F.col("msse_scale").alias("scale"))
+        asked = every.where("split <> 'datastore'").join(scales, [*SERIES, "origin"], "left")
+        made = extraction.extract(asked, store, lambda: forecast.SeasonalNaive(M), lambda: forecast.RetrievalMean(M), H, PREP.datastore_stride, KS)
+        return made.withColumn("task", F.lit("events/H"))
 
-    made = stored(spark, f"{sf_dir}/events.parquet", "references", build)
-    return made.where("split = 'test'"), made.where("split = 'datastore'")
+    return stored(spark, f"{sf_dir}/events.parquet", "extracted", build)
 
 
 def neighbours(spark, sf_dir, k: int = K) -> DataFrame:
@@ -138,8 +160,8 @@ SOLVED = (
 )
 
 
-def design(spark, sf_dir) -> DataFrame:
-    cells = naive_cells(spark, sf_dir)
+def design(spark, sf_dir, wins: DataFrame | None = None) -> DataFrame:
+    cells = naive_cells(spark, sf_dir, wins)
     week = series.forward_fill(hourly_panel(spark, sf_dir)).select(*SERIES, (F.col("t") + 168).alias("at"), F.col("filled").alias("c"))
     rows = cells.withColumn("at", F.col("origin") + F.col("h")).join(week, [*SERIES, "at"]).where("y is not null")
     return rows.select(*SERIES, "window", "origin", "h", "y", "scale", F.col("yhat").alias("vanilla"), (F.col("y") - F.col("yhat")).alias("residual"), F.array("yhat", "c").alias("x"))
@@ -230,18 +252,34 @@ def g15_family_prediction(spark, sf_dir):
     return m.groupBy("item").agg(F.avg("mase").alias("mase")).join(n, "item").select("item", "mase", "fallback", (F.col("fallback") / F.col("n")).alias("fallback_rate"))
 
 
+#: Windows of a long fitting period: a date every LONG_STEP hours from the hour LONG_FIRST on, more than the newest 100 that a rolling ridge takes.
+LONG_FIRST, LONG_STEP, LONG_DATES = 192, 5, 101
+LONG = (
+    f", lw AS (SELECT item, CAST(k AS INTEGER) AS win, {LONG_FIRST} + k * {LONG_STEP} AS origin, CAST(h AS INTEGER) AS h, {LONG_FIRST} + k * {LONG_STEP} + h AS t FROM (SELECT DISTINCT item FROM e) i, (SELECT unnest(range({LONG_DATES})) AS k) k, (SELECT unnest(range({H})) AS h) h), "
+    f"z AS (SELECT item, channel, t, y, lag(filled, {M}) OVER w AS v, lag(filled, 168) OVER w AS cv FROM filled WINDOW w AS (PARTITION BY item, channel ORDER BY t)), "
+    "long_ AS (SELECT lw.item, z.channel, lw.win, lw.origin, lw.h, s.mase_scale AS scale, z.y - z.v AS residual, z.v, z.cv FROM lw JOIN z ON z.item = lw.item AND z.t = lw.t JOIN scales s ON s.item = lw.item AND s.channel = z.channel AND s.origin = lw.origin WHERE z.y IS NOT NULL)"
+)
+
+
+def long_design(spark, sf_dir) -> DataFrame:
+    """Design rows of the long fitting period, tick being the date."""
+    origins = F.posexplode(F.sequence(F.lit(LONG_FIRST).cast("long"), F.lit(LONG_FIRST + LONG_STEP * (LONG_DATES - 1)).cast("long"), F.lit(LONG_STEP).cast("long"))).alias("window", "origin")
+    return design(spark, sf_dir, lengths(spark, sf_dir).select("item", origins)).withColumnRenamed("origin", "tick")
+
+
 @query(
-    DESIGN
-    + ", f AS (SELECT item, channel, h % 6 AS h, greatest(scale, 1e-8) AS s, v, cv, residual, win FROM design), kk AS (SELECT item, h, sum(v / s * v / s) AS x00, sum(v / s * cv / s) AS x01, sum(cv / s * cv / s) AS x11, sum(v / s * residual / s) AS y0, sum(cv / s * residual / s) AS y1, count(DISTINCT win) AS n FROM f GROUP BY 1, 2), n AS (SELECT *, greatest(sqrt(x00 / n), 1e-12) AS r0, greatest(sqrt(x11 / n), 1e-12) AS r1 FROM kk), a AS (SELECT *, x00 / (r0 * r0) / n + 0.01 AS a, x11 / (r1 * r1) / n + 0.01 AS d, x01 / (r0 * r1) / n AS b, y0 / r0 / n AS p, y1 / r1 / n AS q FROM n) SELECT item AS query_id, CAST(h AS INTEGER) AS h, "
+    PANEL
+    + LONG
+    + ", f AS (SELECT item, channel || '/' || win AS win, h % 6 AS h, greatest(scale, 1e-8) AS s, v, cv, residual, dense_rank() OVER (PARTITION BY item ORDER BY origin DESC) AS r FROM long_), kk AS (SELECT item, h, sum(v / s * v / s) AS x00, sum(v / s * cv / s) AS x01, sum(cv / s * cv / s) AS x11, sum(v / s * residual / s) AS y0, sum(cv / s * residual / s) AS y1, count(DISTINCT win) AS n FROM f WHERE r <= 100 GROUP BY 1, 2), n AS (SELECT *, greatest(sqrt(x00 / n), 1e-12) AS r0, greatest(sqrt(x11 / n), 1e-12) AS r1 FROM kk), a AS (SELECT *, x00 / (r0 * r0) / n + 0.01 AS a, x11 / (r1 * r1) / n + 0.01 AS d, x01 / (r0 * r1) / n AS b, y0 / r0 / n AS p, y1 / r1 / n AS q FROM n) SELECT item AS query_id, CAST(h AS INTEGER) AS h, "
     + r("(d * p - b * q) / (a * d - b * b) / r0")
     + " AS b0, "
     + r("(a * q - b * p) / (a * d - b * b) / r1")
-    + " AS b1, n AS windows FROM a WHERE n >= 2"
+    + " AS b1, n AS windows FROM a WHERE n >= 64"
 )
 def g16_horizon_ridge(spark, sf_dir):
-    d = design(spark, sf_dir).select(F.col("item").alias("query_id"), F.col("origin").alias("tick"), "window", F.pmod("h", F.lit(6)).alias("h"), "scale", "residual", "x")
+    d = long_design(spark, sf_dir).select(F.col("item").alias("query_id"), "tick", F.concat_ws("/", "channel", "window").alias("window"), F.pmod("h", F.lit(6)).alias("h"), "scale", "residual", "x")
     asked = d.select("query_id").distinct()
-    b = ridge.horizon_ridge(d, asked, 2, 0.01, least=2, most=100)
+    b = ridge.horizon_ridge(d, asked, 2, 0.01, least=64, most=100)
     return b.select("query_id", "h", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"), "windows")
 
 
@@ -271,12 +309,18 @@ def u1_seasonal_naive_forecaster(spark, sf_dir):
     return forecast.long_form(made, ["item", "channel", "origin"])
 
 
-@query()
+@query(PANEL + f", f AS (SELECT *, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY item, channel, origin ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(y IGNORE NULLS) OVER (PARTITION BY item, channel, origin ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS x FROM (SELECT w.item, p.channel, w.origin, p.t, p.y FROM wins w JOIN panel p ON p.item = w.item AND p.t >= w.origin - {L} AND p.t < w.origin)), e2 AS (SELECT item, channel, origin, max_by(x, t) AS b, min_by(x, t) AS a FROM f GROUP BY 1, 2, 3) SELECT item, channel, origin, CAST(h AS INTEGER) AS h, " + r(f"b + (b - a) / {L - 1} * (h + 1)") + f" AS yhat FROM e2, (SELECT unnest(range({H})) AS h)")
 def u1_drift_forecaster(spark, sf_dir):
     return forecast.long_form(forecast.forecast(contexts(spark, sf_dir), forecast.Drift, H, ["item", "channel", "origin"]), ["item", "channel", "origin"])
 
 
-@query()
+@query(
+    REPS
+    + PAIRS
+    + f", fut AS (SELECT r.ref_id, p.t - r.origin AS h, p.y FROM refs r JOIN panel p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin AND p.t < r.origin + {H}), ok AS (SELECT ref_id FROM fut GROUP BY 1 HAVING bool_and(y IS NOT NULL)), m AS (SELECT query_id, h, avg(y) AS y FROM near JOIN ok USING (ref_id) JOIN fut USING (ref_id) WHERE rank <= {K} GROUP BY 1, 2), ctx AS (SELECT r.ref_id, p.t - r.origin AS i, coalesce(last_value(p.y IGNORE NULLS) OVER (PARTITION BY r.ref_id ORDER BY p.t ROWS UNBOUNDED PRECEDING), first_value(p.y IGNORE NULLS) OVER (PARTITION BY r.ref_id ORDER BY p.t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS x FROM refs r JOIN panel p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin - {L} AND p.t < r.origin WHERE r.split = 'test') SELECT c.ref_id AS query_id, CAST(c.i + {M} AS INTEGER) AS h, "
+    + r("coalesce(m.y, c.x)")
+    + f" AS yhat FROM ctx c LEFT JOIN m ON m.query_id = c.ref_id AND m.h = c.i + {M} WHERE c.i >= -{M}"
+)
 def r4_retrieval_forecaster(spark, sf_dir):
     asked, store = references(spark, sf_dir)
     scaled = neighbours(spark, sf_dir)
@@ -294,35 +338,62 @@ def j15_cache_probe(spark, sf_dir):
     return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
 
 
-@query(PANEL + f"SELECT item, count(*) AS n, " + r("avg(s)") + f" AS mean FROM (SELECT item, t, avg(filled) OVER (PARTITION BY item ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS s FROM filled WHERE channel = 0) WHERE t >= {HOURS - 24} GROUP BY 1")
+@query(
+    PANEL
+    + LONG
+    + ", day AS (SELECT item, origin, sum(v / s * v / s) AS x00, sum(v / s * cv / s) AS x01, sum(cv / s * cv / s) AS x11, sum(v / s * residual / s) AS y0, sum(cv / s * residual / s) AS y1, count(DISTINCT channel || '/' || win) AS windows FROM (SELECT *, greatest(scale, 1e-8) AS s FROM long_) GROUP BY 1, 2) SELECT item, origin AS tick, "
+    + ", ".join(r(f"sum({n}) OVER w") + f" AS {n}" for n in ("x00", "x01", "x11", "y0", "y1"))
+    + ", CAST(sum(windows) OVER w AS BIGINT) AS windows FROM day WINDOW w AS (PARTITION BY item ORDER BY origin ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"
+)
 def w17_sliding_statistics(spark, sf_dir):
-    f = series.forward_fill(hourly_panel(spark, sf_dir)).where("channel = 0")
-    w = W.partitionBy("item").orderBy("t").rowsBetween(-23, 0)
-    return f.withColumn("s", F.avg("filled").over(w)).where(F.col("t") >= HOURS - 24).groupBy("item").agg(F.count("*").alias("n"), F.avg("s").alias("mean"))
+    d = long_design(spark, sf_dir).withColumn("window", F.concat_ws("/", "channel", "window"))
+    made = ridge.sliding_statistics(d, ["item"], "tick", 2, 30)
+    return made.select("item", "tick", *[F.get(c, F.lit(i)).alias(n) for n, c, i in _G], "windows")
 
 
-def family_rows(spark, sf_dir) -> DataFrame:
-    """Design rows with the two series' futures nearest in name as neighbours, and their naive forecasts."""
-    d = design(spark, sf_dir).withColumnRenamed("origin", "tick").withColumn("covariate", F.get("x", F.lit(1))).drop("x")
-    both = d.groupBy("channel", "tick", "h").agg(F.array_sort(F.collect_list(F.struct("item", "y", "vanilla"))).alias("all"))
-    rows = d.join(both, ["channel", "tick", "h"]).withColumn("near", F.slice(F.filter("all", lambda z: z["item"] != F.col("item")), 1, 2))
-    rows = rows.withColumns({"neighbours": F.transform("near", lambda z: z["y"]), "own": F.transform("near", lambda z: z["vanilla"]), "task": F.lit("events/H")})
-    return rows.drop("all", "near")
+@query()
+def g14_method_family(spark, sf_dir):
+    return family.fit(extracted(spark, sf_dir), H, PREP.fitting_stride, KS, b=ridge.Bootstrap(replications=500))[2]
 
 
 @query()
-def g14_method_family(spark, sf_dir):
-    rows = family_rows(spark, sf_dir).persist()  # read once for each candidate
-    first = rows.agg(F.min("tick")).first()[0]
-    cut = F.col("tick") < F.lit(first) + 2 * H
-    judged = rows.where(~cut).withColumn("tick", F.col("tick") + F.floor(F.col("h") / 4))
-    return ridge.fit_family(rows.where(cut), judged, ["task"], H, 23, ks=(1, 2), alphas=(1e-2,))
+def g14_overall_choice(spark, sf_dir):
+    return family.fit(extracted(spark, sf_dir), H, PREP.fitting_stride, KS, b=ridge.Bootstrap(replications=500))[3]
+
+
+#: Windows that extraction can adapt: the K nearest references' futures and the window's own are whole.
+_PATCHED = ", patched AS (SELECT item, channel, t, coalesce(y, lag(y) OVER (PARTITION BY item, channel ORDER BY t)) AS y FROM panel), refs AS"
+ELIGIBLE = (
+    REPS.replace("WHERE split = 'test'", "").replace(", refs AS", _PATCHED).replace("JOIN panel p", "JOIN patched p")
+    + PAIRS.replace("split = 'test'", "split <> 'datastore'")
+    + f", whole AS (SELECT r.ref_id, r.split, r.origin, bool_and(p.y IS NOT NULL) AS ok FROM refs r JOIN patched p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin AND p.t < r.origin + {H} GROUP BY 1, 2, 3), nk AS (SELECT k, query_id, count(*) AS n, bool_and(ok) AS ok FROM near JOIN whole USING (ref_id), (SELECT unnest([{', '.join(map(str, KS))}]) AS k) WHERE rank <= k GROUP BY 1, 2), el AS (SELECT kk.k, w.ref_id, w.split, w.origin, w.ok AND s.msse_scale IS NOT NULL AS labelled, w.ok AND s.msse_scale IS NOT NULL AND coalesce(nk.n >= kk.k AND nk.ok, false) AS adapted FROM whole w JOIN refs r USING (ref_id) LEFT JOIN scales s ON s.item = r.item AND s.channel = r.channel AND s.origin = r.origin, (SELECT unnest([{', '.join(map(str, KS))}]) AS k) kk LEFT JOIN nk ON nk.query_id = w.ref_id AND nk.k = kk.k WHERE w.split <> 'datastore')"
+)
+
+
+@query(ELIGIBLE + " SELECT split, CAST(k AS INTEGER) AS k, count(*) AS total_windows, count(CASE WHEN labelled THEN 1 END) AS label_complete_windows, count(CASE WHEN adapted THEN 1 END) AS adapted_windows, count(CASE WHEN labelled AND NOT adapted THEN 1 END) AS vanilla_fallback_windows, count(CASE WHEN NOT labelled THEN 1 END) AS excluded_label_windows, count(DISTINCT origin) AS total_dates, count(DISTINCT CASE WHEN adapted THEN origin END) AS adapted_dates FROM el GROUP BY 1, 2")
+def g9_coverage(spark, sf_dir):
+    return extraction.coverage(extracted(spark, sf_dir), ["split"], KS)
 
 
-@query(DESIGN + ", o AS (SELECT a.item, a.channel, a.win, a.h, a.scale, a.residual, a.v, (SELECT min(b.item) FROM design b WHERE b.channel = a.channel AND b.origin = a.origin AND b.h = a.h AND b.item <> a.item) AS near FROM design a), k1 AS (SELECT o.channel, sum(o.v / s * o.v / s) AS x00, sum(o.v / s * n.y / s) AS x01, sum(n.y / s * n.y / s) AS x11, sum(o.v / s * o.residual / s) AS y0, sum(n.y / s * o.residual / s) AS y1, count(*) AS n FROM (SELECT *, greatest(scale, 1e-8) AS s FROM o) o JOIN design n ON n.item = o.near AND n.channel = o.channel AND n.win = o.win AND n.h = o.h GROUP BY 1) SELECT channel, " + ", ".join(r(n) + f" AS {n}" for n, _, _ in _G) + ", n AS rows_ FROM k1")
+@query(ELIGIBLE + f", n AS (SELECT query_id, avg(y) AS c, t - origin AS h FROM (SELECT near.query_id, p.y, p.t, r.origin FROM near JOIN refs r USING (ref_id) JOIN patched p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin AND p.t < r.origin + {H} WHERE rank <= {max(KS)}) GROUP BY 1, 3) SELECT ref_id, el.split, adapted, " + r("avg(CASE WHEN adapted THEN n.c END)") + f" AS context_mean FROM el LEFT JOIN n ON n.query_id = el.ref_id WHERE k = {max(KS)} GROUP BY 1, 2, 3")
+def r4_extraction(spark, sf_dir):
+    k = max(KS)
+    rows = extracted(spark, sf_dir)
+    return rows.select("ref_id", "split", extraction.adapted(k).alias("adapted"), F.when(extraction.adapted(k), vectors.mean(F.col(f"context_{k}"))).alias("context_mean"))
+
+
+@query()
 def g9_statistics_grid(spark, sf_dir):
-    one = ridge.statistics_grid(family_rows(spark, sf_dir), ["channel"], ("targets",), (1,))["targets", 1]
-    return one.select("channel", *[F.get(c, F.lit(i)).alias(n) for n, c, i in _G], F.col("rows").alias("rows_"))
+    made = family.statistics(extracted(spark, sf_dir), KS)
+    return made.select("item", "channel", "split", "k", F.posexplode("xtx").alias("place", "x"), "yy", "rows", "windows").withColumnRenamed("rows", "rows_")
+
+
+@query()
+def g15_family_forecasts(spark, sf_dir):
+    rows = extracted(spark, sf_dir)
+    shared, single, _, _ = family.fit(rows, H, PREP.fitting_stride, KS, b=ridge.Bootstrap(replications=500))
+    made = family.forecasts(rows.where("split = 'test'"), shared, single, KS)
+    return made.groupBy("method", "k", "alpha").agg(F.avg("msse").alias("msse"), F.count_if("fallback").alias("fallback"), F.count("*").alias("eligible"))
 
 
 @query(REPS + PAIRS + " SELECT k, query_id, count(*) AS neighbours, " + r("max(euclid)") + " AS farthest FROM near, (SELECT unnest([1, 2, 3]) AS k) WHERE rank <= k GROUP BY 1, 2")
@@ -338,3 +409,32 @@ def c15_long_context_windows(spark, sf_dir):
     m = windows.materialise(refs, series.arrays(series.forward_fill(hourly_panel(spark, sf_dir)), "filled"), 512, H)
     whole = F.concat("context", "target")
     return m.select("item", "channel", "origin", F.size(whole).cast("long").alias("n"), vectors.mean(whole).alias("mean"))
+
+
+def task_windows(spark, sf_dir) -> DataFrame:
+    """Test windows of the panel with context, target and scale."""
+    scales = series.prefix_scales(hourly_panel(spark, sf_dir), M).select(*SERIES, "origin", F.col("mase_scale").alias("scale"))
+    return references(spark, sf_dir)[0].join(scales, [*SERIES, "origin"], "left").withColumn("window", F.floor((F.col("origin") - (HOURS - TEST)) / H).cast("int"))
+
+
+_CONTEXT = f", f AS (SELECT *, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY item, channel, win ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(y IGNORE NULLS) OVER (PARTITION BY item, channel, win ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS x FROM (SELECT w.item, p.channel, w.win, w.origin, p.t, p.y FROM wins w JOIN panel p ON p.item = w.item AND p.t >= w.origin - {L} AND p.t < w.origin)), ev AS (SELECT f.item, f.channel, f.win, p.y, f.x AS yhat, s.mase_scale AS scale FROM f JOIN panel p ON p.item = f.item AND p.channel = f.channel AND p.t = f.t + {M} JOIN scales s ON s.item = f.item AND s.channel = f.channel AND s.origin = f.origin WHERE f.t >= f.origin - {M}), wm AS (SELECT item, channel, win, avg(abs(y - yhat)) AS mae, avg(abs(y - yhat)) / max(scale) AS mase, avg((y - yhat) * (y - yhat)) AS mse FROM ev WHERE y IS NOT NULL GROUP BY 1, 2, 3)"
+
+
+@query(PANEL + _CONTEXT + " SELECT item, channel, win, " + ", ".join(r(m) + f" AS {m}" for m in ("mae", "mase", "mse")) + ", false AS fallback FROM wm")
+def r1_evaluated_task(spark, sf_dir):
+    cells, _ = evaluation.evaluate(lambda: forecast.SeasonalNaive(M), task_windows(spark, sf_dir), H, lambda: forecast.SeasonalNaive(M))
+    return cells.select("item", "channel", F.col("window").alias("win"), "mae", "mase", "mse", "fallback")
+
+
+@query(
+    PANEL
+    + _CONTEXT
+    + ", us AS (SELECT metric, " + r("avg(v)") + " AS mean, count(v) AS defined, count(*) AS cells FROM (UNPIVOT (SELECT mae, mase, mse FROM wm) ON mae, mase, mse INTO NAME metric VALUE v) GROUP BY 1) SELECT us.*, (SELECT count(*) FROM wm WHERE channel = 1) AS fallback, (SELECT count(*) FROM wm) AS eligible, " + r("(SELECT count(*) FROM wm WHERE channel = 1) / CAST((SELECT count(*) FROM wm) AS DOUBLE)") + " AS fallback_rate FROM us"
+)
+def r7_point_evaluation(spark, sf_dir):
+    """Point forecasts of which those of one channel are not finite, so that they fall back."""
+    rows = task_windows(spark, sf_dir)
+    plain = forecast.forecast(rows, lambda: forecast.SeasonalNaive(M), H, metrics.WINDOW)
+    broken = F.when(F.col("channel") == 1, F.transform("yhat", lambda x, i: F.when(i == 3, float("nan")).otherwise(x))).otherwise(F.col("yhat"))
+    made = rows.select(*metrics.WINDOW, "target", "scale").join(plain.select(*metrics.WINDOW, F.col("yhat").alias("vanilla"), broken.alias("yhat")), metrics.WINDOW)
+    return evaluation.evaluate_points(made)[1].where(F.col("metric").isin("mae", "mase", "mse"))
