@@ -215,26 +215,59 @@ def stationary(x: np.ndarray, most: int = 10_000) -> int:
     return int(best[1] <= -3.4126 - 4.039 / n - 17.83 / n**2)
 
 
+def loess(y: np.ndarray, width: int, ends: bool = False) -> np.ndarray:
+    """Locally linear regression at the places of y (with ends, also at one place before and one after), tricube weights over the nearest width places."""
+    n = len(y)
+    q = min(width, n)
+    at = np.arange(-1, n + 1) if ends else np.arange(n)
+    left = np.clip(at - (q - 1) // 2, 0, n - q)
+    reach = np.maximum(at - left, left + q - 1 - at) + max(0, width - n) // 2
+    places = left[:, None] + np.arange(q)
+    gap = np.abs(places - at[:, None])
+    weight = np.where(gap <= 0.001 * reach[:, None], 1.0, np.where(gap <= 0.999 * reach[:, None], (1 - np.minimum(1.0, gap / np.maximum(reach, 1e-12)[:, None]) ** 3) ** 3, 0.0))
+    weight = weight / weight.sum(axis=1, keepdims=True)
+    centre = (weight * places).sum(axis=1)
+    off = places - centre[:, None]
+    spread = (weight * off * off).sum(axis=1)
+    slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - centre) / np.where(spread > 0, spread, 1.0), 0.0)
+    return (weight * (1 + slope[:, None] * off) * y[places]).sum(axis=1)
+
+
+def _means(x: np.ndarray, width: int) -> np.ndarray:
+    return np.convolve(x, np.ones(width) / width, mode="valid")
+
+
+def stl(x: np.ndarray, m: int, seasonal: int, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and season of period m, by the seasonal-trend decomposition of Cleveland and others (1990), without robustness weights."""
+    n = len(x)
+    trend_width = int(np.ceil(1.5 * m / (1 - 1.5 / seasonal)))
+    trend_width += 1 - trend_width % 2
+    low = m + 1 + m % 2
+    trend, season = np.zeros(n), np.zeros(n)
+    for _ in range(rounds):
+        cycles = np.empty(n + 2 * m)
+        for k in range(m):
+            cycles[k::m] = loess((x - trend)[k::m], seasonal, ends=True)
+        season = cycles[m : m + n] - loess(_means(_means(_means(cycles, m), m), 3), low)
+        trend = loess(x - season, trend_width)
+    return trend, season
+
+
 def decompose(x: np.ndarray, periods: list[int]) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
-    """Trend, seasons by period (those of which two fit) and remainder."""
-    usable = [m for m in periods if m > 1 and 2 * m <= len(x)]
-    width = max(usable, default=max(3, len(x) // 20))
-    kernel = np.ones(width) / width if width % 2 else np.r_[0.5, np.ones(width - 1), 0.5] / width
-    half = len(kernel) // 2
-    if len(x) > 2 * half + 1:
-        core = np.convolve(x, kernel, mode="valid")
-        k = min(width, len(core))
-        ahead = np.arange(1, half + 1)
-        rise = lambda part: (part[-1] - part[0]) / max(1, len(part) - 1)
-        trend = np.concatenate([core[0] - rise(core[:k]) * ahead[::-1], core, core[-1] + rise(core[-k:]) * ahead])
-    else:
-        trend = np.full(len(x), x.mean())
-    rest, seasons = x - trend, {}
-    for m in usable:
-        phase = np.array([rest[k::m].mean() for k in range(m)])
-        seasons[m] = np.resize(phase - phase.mean(), len(x))
-        rest = rest - seasons[m]
-    return trend, seasons, rest
+    """Trend, seasons by period (those of which two fit) and remainder: STL with a seasonal width of 13 for one period, else MSTL with widths of 11, 15, ... in two rounds; a moving average where no period fits."""
+    usable = sorted({m for m in periods if m > 1 and 2 * m <= len(x)})
+    if not usable:
+        width = min(len(x), max(3, len(x) // 20) | 1)
+        trend = np.convolve(np.pad(x, width // 2, mode="edge"), np.ones(width) / width, mode="valid")[: len(x)]
+        return trend, {}, x - trend
+    widths = [13] if len(usable) == 1 else [7 + 4 * (i + 1) for i in range(len(usable))]
+    seasons, rest, trend = {m: np.zeros(len(x)) for m in usable}, x.astype(float), x
+    for _ in range(min(2, len(usable))):
+        for m, width in zip(usable, widths, strict=True):
+            rest = rest + seasons[m]
+            trend, seasons[m] = stl(rest, m, width)
+            rest = rest - seasons[m]
+    return trend, seasons, rest - trend
 
 
 def decomposition_features(x: np.ndarray, periods: list[int]) -> dict[str, float]:
@@ -268,6 +301,12 @@ def decomposition_features(x: np.ndarray, periods: list[int]) -> dict[str, float
     return {k: float(v) for k, v in out.items()}
 
 
+def heterogeneity(panel: DataFrame, value: str = "filled") -> DataFrame:
+    """item, channel, location, scale, frequency and temporal_heterogeneity, their mean, of each series."""
+    parts = temporal_heterogeneity(panel, value).join(extract(panel, [lambda x: {"frequency": frequency_heterogeneity(x)}], value), SERIES)
+    return parts.select(*SERIES, "location", "scale", "frequency", ((F.col("location") + F.col("scale") + F.col("frequency")) / 3).alias("temporal_heterogeneity"))
+
+
 def builtin(unit: str, periods: list[int]) -> list[Callable[[np.ndarray], dict[str, float]]]:
     return [lambda x: period_strengths(x, unit), lambda x: {"frequency_heterogeneity": frequency_heterogeneity(x)}, lambda x: decomposition_features(x, periods)]
 

@@ -507,6 +507,11 @@ def f6_frequency_heterogeneity(spark, sf_dir):
     return features.extract(filled_panel(spark, sf_dir), [lambda x: {"frequency": features.frequency_heterogeneity(x)}])
 
 
+@query()
+def f4_mean_heterogeneity(spark, sf_dir):
+    return features.heterogeneity(filled_panel(spark, sf_dir))
+
+
 @query()
 def f7_decomposition_features(spark, sf_dir):
     return features.extract(filled_panel(spark, sf_dir), [lambda x: features.decomposition_features(x, [24])])

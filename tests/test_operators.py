@@ -206,6 +206,33 @@ def test_spectra_and_decomposition():
     assert set(features.decomposition_features(np.ones(40), [7])) == set(f)
 
 
+def test_loess_and_decomposition_match_plain_ones():
+    rng = np.random.default_rng(12)
+    y = rng.normal(size=40).cumsum()
+
+    def plain(at, width, n):
+        q = min(width, n)
+        left = min(max(0, at - (q - 1) // 2), n - q)
+        reach = max(at - left, left + q - 1 - at) + max(0, width - n) // 2
+        w = np.zeros(n)
+        for j in range(left, left + q):
+            w[j] = (1 - (abs(j - at) / reach) ** 3) ** 3 if abs(j - at) <= 0.999 * reach else 0.0
+        a = np.column_stack([np.ones(n), np.arange(n) - at])
+        return np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][0]
+
+    for width in (7, 13, 39, 51):
+        assert features.loess(y, width) == pytest.approx([plain(i, width, 40) for i in range(40)])
+        assert features.loess(y, width, ends=True)[[0, -1]] == pytest.approx([plain(-1, width, 40), plain(40, width, 40)])
+    t = np.arange(24 * 30)
+    day, half, line = np.sin(2 * np.pi * t / 24), 0.5 * np.cos(2 * np.pi * t / 7), 0.01 * t
+    trend, seasons, e = features.decompose(day + line, [24])
+    assert np.abs(seasons[24] - day).max() < 0.02 and np.abs(trend - line).max() < 0.02 and np.abs(e).max() < 0.02
+    trend, seasons, e = features.decompose(day + half + line, [7, 24])
+    assert np.abs(seasons[24] - day).max() < 0.1 and np.abs(seasons[7] - half).max() < 0.1
+    assert trend + seasons[24] + seasons[7] + e == pytest.approx(day + half + line)
+    assert features.decompose(y[:5], [7])[1] == {}
+
+
 def test_heterogeneity_with_uneven_blocks(spark):
     x = np.random.default_rng(6).normal(size=35).cumsum()
     got = features.temporal_heterogeneity(series.forward_fill(panel(spark, a=x.tolist(), tiny=[1.0, 2.0]))).collect()
