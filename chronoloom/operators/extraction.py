@@ -52,7 +52,8 @@ def extract(asked: DataFrame, store: DataFrame, plain: Callable[[], forecast.For
         usable = rows.where(F.size("neighbours") >= k).select("ref_id", "context", F.slice("neighbours", 1, k).alias("_near"))
         found = forecast.forecast(usable.where(F.forall("_near", whole)), retrieving, horizon, ["ref_id"], "_near").withColumnRenamed("yhat", f"context_{k}")
         rows = rows.join(found, "ref_id", "left")
-    checks = rows.select("*", F.size("neighbours").alias("_n"), whole(F.col("target")).alias("target_finite"), whole(F.col("vanilla")).alias("vanilla_finite"), whole(F.col(f"context_{most}")).alias("covariate_finite"), (F.forall("neighbours", whole) & F.forall("own", whole)).alias("neighbour_finite"))
+    near = F.forall("neighbours", whole) & F.forall("own", whole)  # without which there is no forecast from them to judge
+    checks = rows.select("*", F.size("neighbours").alias("_n"), whole(F.col("target")).alias("target_finite"), whole(F.col("vanilla")).alias("vanilla_finite"), near.alias("neighbour_finite"), (~near | whole(F.col(f"context_{most}"))).alias("covariate_finite"))
     checked = forecast.eligibility(checks.withColumn("_all", F.col("neighbours")).withColumn("neighbours", F.col("_n")), most)
     return checked.withColumn("neighbours", F.col("_all")).drop("_all", "_n", "target_finite", "vanilla_finite", "covariate_finite", "neighbour_finite", "context", "rep")
 

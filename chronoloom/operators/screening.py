@@ -128,6 +128,20 @@ def dataset_summary(screened: DataFrame, panel: DataFrame) -> DataFrame:
     return per.withColumn("ratio", F.col("kept") / F.col("total")).withColumn("recommended", F.when(F.col("ratio") >= 0.5, "keep").otherwise("drop"))
 
 
+def dropped(screened: DataFrame) -> DataFrame:
+    """item, variates and reasons (each once, in order) of the items without a kept variate; screened has predictable and checks."""
+    per = screened.groupBy("item").agg(F.count("*").alias("variates"), F.count_if("predictable").alias("kept"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("checks")))).alias("reasons"))
+    return per.where("kept = 0").drop("kept")
+
+
+def drop_recommended(panel: DataFrame, screened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(panel without the channels that dataset_summary recommends to drop and without the variates screened out, its summary)."""
+    poor = dataset_summary(screened, panel).where("recommended = 'drop'").select("channel")
+    kept = screened.where("predictable").join(F.broadcast(poor), "channel", "left_anti")  # a row for each channel
+    left = panel.join(kept.select(*SERIES), SERIES, "left_semi")
+    return left, dataset_summary(kept, left)
+
+
 def drop_variates(panel: DataFrame, channels: list[int] | None = None, items: list[str] | None = None) -> DataFrame:
     kept = panel if channels is None else panel.where(~F.col("channel").isin(channels))
     return kept if items is None else kept.where(~F.col("item").isin(items))

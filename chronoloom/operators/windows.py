@@ -6,7 +6,7 @@ first forecast step; a channel of -1 stands for all channels of an item at once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -187,6 +187,16 @@ def prepare(series: DataFrame, channels: DataFrame | None, p: Preparation) -> Da
     return store.unionByName(ask)
 
 
+def preparation_report(series: DataFrame, channels: DataFrame | None, p: Preparation) -> DataFrame:
+    """split, refs, dates, cap_removed (references that the cap took away), series and excluded_series (too short for a test part)."""
+    made = prepare(series, channels, p).groupBy("split").agg(F.count("*").alias("refs"), F.countDistinct("tick").alias("dates"))
+    before = prepare(series, channels, replace(p, cap=None)).groupBy("split").agg(F.count("*").alias("_all")) if p.cap else made.select("split", F.col("refs").alias("_all"))
+    short = series.agg(F.count("*").alias("series"), F.count_if(F.col("length") < p.test_length).alias("excluded_series"))
+    rows = before.join(made, "split", "left").crossJoin(F.broadcast(short))  # one row
+    refs = F.coalesce("refs", F.lit(0))
+    return rows.select("split", refs.alias("refs"), F.coalesce("dates", F.lit(0)).alias("dates"), (F.col("_all") - refs).alias("cap_removed"), "series", "excluded_series")
+
+
 def profiles(spec: dict[str, int | None]) -> dict[int | None, list[str]]:
     """Context limits and the models that share each."""
     found: dict[int | None, list[str]] = {}

@@ -382,6 +382,11 @@ def r4_extraction(spark, sf_dir):
     return rows.select("ref_id", "split", extraction.adapted(k).alias("adapted"), F.when(extraction.adapted(k), vectors.mean(F.col(f"context_{k}"))).alias("context_mean"))
 
 
+@query(ELIGIBLE + f" SELECT w.split, CAST(CASE WHEN coalesce(nk.n, 0) < {max(KS)} THEN 1 WHEN NOT w.ok THEN 2 WHEN NOT nk.ok THEN 5 WHEN s.msse_scale IS NULL THEN 6 ELSE 0 END AS INTEGER) AS reason, count(*) AS rows_ FROM whole w JOIN refs r USING (ref_id) LEFT JOIN scales s ON s.item = r.item AND s.channel = r.channel AND s.origin = r.origin LEFT JOIN nk ON nk.query_id = w.ref_id AND nk.k = {max(KS)} WHERE w.split <> 'datastore' GROUP BY 1, 2")
+def g35_extraction_reasons(spark, sf_dir):
+    return extracted(spark, sf_dir).groupBy("split", "reason").agg(F.count("*").alias("rows_"))
+
+
 @query()
 def g9_statistics_grid(spark, sf_dir):
     made = family.statistics(extracted(spark, sf_dir), KS)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import columns, vectors
 from ..operators import audit, features, metrics, screening, series, windows
 from ..operators.series import SERIES
 from ..sources import tables
-from ..sources.stages import stored
+from ..sources.stages import shared_dir, stored
 from .registry import query, r, table
 
 #: The panel's hours, counted from its start in seconds; an event outside them is an error.  Parts and windows of its series.
@@ -82,6 +85,33 @@ def a2_series_items(spark, sf_dir):
     return one.join(start, ["item", "variate"]).select("item", "variate", "steps", "start", "observed")
 
 
+@query(PANEL + "SELECT CASE channel WHEN 0 THEN 'total' ELSE 'largest' END AS variate, count(*) AS steps, count(y) AS observed, " + r("sum(y)") + " AS total, TIMESTAMP '2024-01-01' AS start FROM panel GROUP BY 1")
+def a1_csv_scan(spark, sf_dir):
+    """Series written as CSV files and scanned again."""
+    at = F.timestamp_seconds(F.lit(START) + F.col("t") * 3600)
+    wide = hourly_panel(spark, sf_dir).groupBy("item", "t").pivot("channel", [0, 1]).agg(F.first("y"))
+    path = f"{shared_dir(spark)}/chronoloom-csv-{uuid.uuid4().hex}"
+    wide.select(F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("0").alias("total"), F.col("1").alias("largest")).write.csv(path, header=True)
+    long = tables.scan_csv(spark, f"{path}/*.csv")
+    return long.groupBy(F.col("column").alias("variate")).agg(F.count("*").alias("steps"), F.count("y").alias("observed"), F.sum("y").alias("total"), F.min("ts").cast("timestamp_ntz").alias("start"))
+
+
+@query(PANEL + "SELECT item, channel, count(*) AS n, " + r("sum(y)") + " AS total FROM panel GROUP BY 1, 2")
+def a10_stage_store(spark, sf_dir):
+    """A stage's table written, which must not be there yet, and opened again."""
+    path = f"{shared_dir(spark)}/chronoloom-stage-{uuid.uuid4().hex}"
+    tables.write_stage(hourly_panel(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+def a13_report(spark, sf_dir):
+    """A small report written as CSV and read again."""
+    path = f"{shared_dir(spark)}/chronoloom-report-{uuid.uuid4().hex}"
+    tables.write_report(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")), path)
+    return spark.read.schema("kind string, n long").csv(path, header=True)
+
+
 @query("SELECT o_orderpriority AS priority, count(*) AS n, " + r("sum(o_totalprice)") + " AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
 def a3_columnar_scan(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp"))
@@ -259,6 +289,12 @@ def c17_length_summary(spark, sf_dir):
     return windows.length_summary(lengths(spark, sf_dir))
 
 
+@query(f"SELECT split, CASE WHEN split = 'datastore' THEN least(n, 5) * s ELSE n * s END AS refs, CASE WHEN split = 'datastore' THEN least(n, 5) ELSE n END AS dates, CASE WHEN split = 'datastore' THEN greatest(n - 5, 0) * s ELSE 0 END AS cap_removed, items AS series, 0 AS excluded_series FROM (SELECT split, count(DISTINCT origin) AS n FROM (SELECT item, split, origin FROM {ORIGINS} UNION ALL SELECT item, 'datastore', origin FROM {STORE}) GROUP BY 1), (SELECT count(*) AS items, 2 * count(*) AS s FROM {_ITEMS})")
+def c11_preparation_report(spark, sf_dir):
+    s = lengths(spark, sf_dir)
+    return windows.preparation_report(s, s.select("item", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")), dataclasses.replace(PREP, cap=5))
+
+
 # Functions along time
 
 
@@ -474,6 +510,25 @@ def g30_dataset_summary(spark, sf_dir):
     return screening.dataset_summary(good, p)
 
 
+_SCREENED = "k AS (SELECT item, channel, avg(CASE WHEN y IS NULL THEN 1 ELSE 0 END) <= 0.06 AS good, count(y) AS n FROM panel GROUP BY 1, 2)"
+
+
+def screened_by_missing(spark, sf_dir) -> DataFrame:
+    checks = screening.basic_checks(hourly_panel(spark, sf_dir), 168, 0.06)
+    return checks.select(*SERIES, F.col("missing_ok").alias("predictable"), F.when(F.col("missing_ok"), F.array().cast("array<string>")).otherwise(F.array(F.lit("missing"))).alias("checks"))
+
+
+@query(PANEL + ", " + _SCREENED + " SELECT item, count(*) AS variates, 'missing' AS reasons FROM k GROUP BY 1 HAVING NOT bool_or(good)")
+def g30_dropped_series(spark, sf_dir):
+    return screening.dropped(screened_by_missing(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(PANEL + ", " + _SCREENED + ", g AS (SELECT channel FROM k GROUP BY 1 HAVING avg(CAST(good AS INTEGER)) >= 0.5) SELECT p.item, p.channel, count(*) AS steps, " + r("sum(y)") + " AS total FROM panel p JOIN k USING (item, channel) JOIN g ON g.channel = p.channel WHERE good GROUP BY 1, 2")
+def b13_drop_recommended(spark, sf_dir):
+    left, _ = screening.drop_recommended(hourly_panel(spark, sf_dir), screened_by_missing(spark, sf_dir))
+    return left.groupBy(*SERIES).agg(F.count("*").alias("steps"), F.sum("y").alias("total"))
+
+
 # Features
 
 

@@ -126,6 +126,17 @@ def resolve(name: str, *levels: dict | None) -> object:
     return value
 
 
+def protocol(config: dict, dataset: str, term: str, names: list[str], given: dict | None = None, block: str = "tasks") -> dict:
+    """The settings of a task by name: given ones first, then those of the term's ranges, then the dataset's block, then the dataset's entry, then its frequency's defaults (under defaults/<frequency>); one that no level has is an error."""
+    own = config.get(block, {}).get(dataset, {})
+    entry = config.get("datasets", {}).get(dataset, {})
+    levels = (given, own.get("ranges", {}).get(term), own, entry.get("terms", {}).get(term), entry, config.get("defaults", {}).get(dataset.rpartition("/")[2]))
+    found = {name: resolve(name, *levels) for name in names}
+    if missing := sorted(n for n, v in found.items() if v is None):
+        raise ValueError(f"{dataset} {term}: no setting of {missing}")
+    return found
+
+
 def target_mode(requested: str, channels: int, multivariate_model: bool) -> str:
     """univariate or multivariate, for auto by what data and model allow."""
     if requested == "auto":
@@ -204,4 +215,4 @@ class Runs:
         self._write(path, m["identity"], m["config"], "completed")
 
 
-__all__ = ["ITEM", "SERIES", "Roots", "Runs", "covariate_field", "find_dataset", "identities", "items", "load_tasks", "panel_of", "resolve", "scan_csv", "select_tasks", "target_mode", "task_catalog", "time_column", "univariate", "univariate_with_others", "write_json", "write_report", "write_stage"]
+__all__ = ["ITEM", "SERIES", "Roots", "Runs", "covariate_field", "find_dataset", "identities", "items", "load_tasks", "panel_of", "protocol", "resolve", "scan_csv", "select_tasks", "target_mode", "task_catalog", "time_column", "univariate", "univariate_with_others", "write_json", "write_report", "write_stage"]

@@ -326,6 +326,34 @@ def test_task_catalog(tmp_path):
     assert tables.Roots("/x").path("logs") == "/x/logs"
 
 
+def test_settings_come_from_the_first_level_that_has_them():
+    config = {
+        "datasets": {"Power/H": {"test_length": 96, "terms": {"short": {"horizon": 24}, "long": {"horizon": 96}}}},
+        "tasks": {"Power/H": {"stride": 24, "context": 48, "ranges": {"long": {"context": 192}}}},
+        "defaults": {"H": {"fitting_stride": 127, "stride": 1}},
+    }
+    names = ["horizon", "stride", "context", "fitting_stride", "test_length"]
+    assert tables.protocol(config, "Power/H", "short", names) == {"horizon": 24, "stride": 24, "context": 48, "fitting_stride": 127, "test_length": 96}
+    assert tables.protocol(config, "Power/H", "long", names, {"stride": 48}) == {"horizon": 96, "stride": 48, "context": 192, "fitting_stride": 127, "test_length": 96}
+    with pytest.raises(ValueError, match="cap"):
+        tables.protocol(config, "Power/H", "short", ["cap"])
+    with pytest.raises(ValueError, match="positive"):
+        tables.protocol(config, "Power/H", "short", ["stride"], {"stride": 0})
+
+
+def test_average_policies_average(spark):
+    rows = [("a", 1, r, r, "completed", False, float(r)) for r in range(3)] + [("a", 2, 9, 9, "completed", True, 7.0), ("b", 1, 4, 4, "running", False, 100.0)]
+    runs = spark.createDataFrame(rows, "identity string, config int, run int, stamp int, status string, selected boolean, mase double")
+    assert [tuple(r) for r in reports.select_runs(runs, "average", "average", values=["mase"]).collect()] == [("a", 4.0)]
+    assert sorted((r.config, r.mase) for r in reports.select_runs(runs, "distinct", "average", values=["mase"]).collect()) == [(1, 1.0), (2, 7.0)]
+    with pytest.raises(ValueError, match="values"):
+        reports.select_runs(runs, "average")
+    assert reports.exactly_one(runs, runs.run == 9)["mase"] == 7.0
+    for condition in (runs.run == 77, runs.config == 1):
+        with pytest.raises(ValueError, match="row"):
+            reports.exactly_one(runs, condition)
+
+
 def test_run_lifecycle(tmp_path):
     runs = tables.Runs(str(tmp_path))
     path, what = runs.allocate({"m": 1}, {"k": 2})
