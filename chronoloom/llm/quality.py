@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 SAMPLE, SLICES, BYTES = 3000, 2, 2048
 DICTIONARY = 64 << 10
 LEVEL = 3
-#: A text's segments for its worst one, in characters.
-SEGMENT = 2048
+#: Bytes of a segment, of which the worst one counts.
+SEGMENT = 512
 FEATURES = 4
 
 

@@ -282,7 +282,7 @@ def test_scores_match_a_plain_reckoning(spark):
     def plain(text):
         raw = (text or "").encode()
         d = lambda x: (size(model.bad, x) - size(model.good, x)) / (size(model.bad, x) + size(model.good, x))
-        worst = min(d(raw[k : k + 2048]) for k in range(0, max(1, len(raw) - 1024), 2048)) if len(raw) > 2048 else d(raw)
+        worst = min(d(raw[k : k + quality.SEGMENT]) for k in range(0, max(1, len(raw) - quality.SEGMENT // 2), quality.SEGMENT)) if len(raw) > quality.SEGMENT else d(raw)
         each = math.log(size(model.good, raw) / max(1, len(raw)))
         x = [(v - c) / s for v, c, s in zip([d(raw), worst, each, each**2], model.centre, model.spread, strict=True)]
         return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=False)) + model.weights[-1]))))
