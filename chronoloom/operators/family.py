@@ -133,7 +133,9 @@ def members(rows: DataFrame, ks: tuple[int, ...], alphas: tuple[float, ...] = AL
 def forecasts(rows: DataFrame, shared: DataFrame, single: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """task, item, channel, ref_id, tick, method, k, alpha, yhat, fallback, msse: every member on every row, in one pass; vanilla wherever a row cannot be adapted or a forecast is not finite."""
     member = F.struct("method", "k", "alpha", "beta", F.col("p"))
-    by_task = shared.groupBy("task").agg(F.collect_list(member).alias("_shared"))  # a few dozen members
+    # Variates without a fit of their own keep vanilla under its name, so that all members are judged on the same rows.
+    others = single.select("task", "method", "k", "alpha").distinct().withColumns({"beta": F.lit(None).cast("array<double>"), "p": F.lit(None).cast("double")})
+    by_task = shared.unionByName(others).groupBy("task").agg(F.collect_list(member).alias("_shared"))  # a few dozen members
     by_series = single.withColumn("p", F.lit(None).cast("double")).groupBy(*SERIES).agg(F.collect_list(member).alias("_single"))
     held = rows.withColumn("channel", F.col("channel").cast("int")).join(by_task, "task", "left").join(by_series, SERIES, "left")
     flags = [extraction.adapted(k).alias(f"_adapted_{k}") for k in ks]
@@ -147,12 +149,14 @@ def forecasts(rows: DataFrame, shared: DataFrame, single: DataFrame, ks: tuple[i
             for r in batch.to_dict("records"):
                 vanilla, target = _array(r["vanilla"]), _array(r["target"])
                 every = [{"method": "vanilla", "k": 0, "alpha": None, "beta": None, "p": None}]
-                every += [*(r["_shared"] if r["_shared"] is not None else []), *(r["_single"] if r["_single"] is not None else [])]
+                single_ = list(r["_single"]) if r["_single"] is not None else []
+                fitted = {(m["method"], m["k"], m["alpha"]) for m in single_}
+                every += [m for m in (r["_shared"] if r["_shared"] is not None else []) if (m["method"], m["k"], m["alpha"]) not in fitted] + single_
                 for m in every:
                     k, made = m["k"], None
                     if m["method"] == "bayes_past_targets":
                         made = None if r["past"] is None else (1 - m["p"]) * vanilla + m["p"] * _array(r["past"])
-                    elif m["method"] != "vanilla" and r[f"_adapted_{k}"]:
+                    elif m["method"] != "vanilla" and (m["p"] is not None or m["beta"] is not None) and r[f"_adapted_{k}"]:
                         context = _array(r[f"context_{k}"])
                         if m["p"] is not None:
                             made = (1 - m["p"]) * vanilla + m["p"] * context

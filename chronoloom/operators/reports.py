@@ -127,12 +127,11 @@ def select_runs(runs: DataFrame, config_policy: str = "error", repeat_policy: st
 
     Configurations of an identity: error (if several), distinct, latest, average.
     Repeats of a configuration: selected (else the latest), latest, distinct, average.
-    average takes the mean of values and leaves out what tells the averaged apart (run, stamp and selected, and of configurations also config).
+    average takes the mean of values and leaves out what tells the averaged apart (run, stamp and selected, and of
+    configurations also config); without values it gives the runs to average, for effective to do it.
     """
     if config_policy not in ("error", "distinct", "latest", "average") or repeat_policy not in ("selected", "latest", "distinct", "average"):
         raise ValueError("no such policy")
-    if "average" in (config_policy, repeat_policy) and not values:
-        raise ValueError("averages need values")
     done = runs.where("status = 'completed'")
     done = done if filters is None else done.where(filters)
     if config_policy == "error":
@@ -147,9 +146,9 @@ def select_runs(runs: DataFrame, config_policy: str = "error", repeat_policy: st
         order = W.partitionBy("identity", "config").orderBy(*first, F.desc("stamp"), F.desc("run"))
         done = done.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
     means = [F.avg(v).alias(v) for v in values or []]
-    if repeat_policy == "average":
+    if values and repeat_policy == "average":
         done = done.groupBy("identity", "config").agg(*means)
-    if config_policy == "average":
+    if values and config_policy == "average":
         done = done.groupBy("identity").agg(*means)
     return done
 

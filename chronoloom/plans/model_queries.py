@@ -16,6 +16,8 @@ from .series_queries import HOURS, ORIGINS, PANEL, PREP, STORE, TEST, H, L, M, h
 K = 3
 #: Numbers of neighbours that extraction makes forecasts from.
 KS = (1, 3)
+#: Hours over which extraction carries a value on.
+PATCH = 12
 _REF = "item || '/' || channel || '/' || origin"
 _CHANNELS = "(SELECT unnest([0, 1]) AS channel)"
 _REFS = f"(SELECT item, channel, origin, split FROM {ORIGINS}, {_CHANNELS} WHERE split = 'test' UNION ALL SELECT item, channel, origin, 'datastore' FROM {STORE}, {_CHANNELS})"
@@ -47,11 +49,11 @@ def references(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def extracted(spark, sf_dir) -> DataFrame:
-    """Every reference of training, validation and test with its forecasts and neighbours, as one task, hours without a value taking that of the hour before if it has one; worked out once."""
+    """Every reference of training, validation and test with its forecasts and neighbours, as one task, hours without a value taking the last one of the PATCH hours before; worked out once."""
 
     def build() -> DataFrame:
-        before = F.lag("y").over(W.partitionBy(*SERIES).orderBy("t"))
-        patched = hourly_panel(spark, sf_dir).withColumn("y", F.coalesce("y", before))
+        newest = W.partitionBy(*SERIES).orderBy("t").rowsBetween(-PATCH, 0)
+        patched = hourly_panel(spark, sf_dir).withColumn("y", F.last("y", True).over(newest))
         every = stored(spark, f"{sf_dir}/events.parquet", "patched", lambda: made_references(prepared(spark, sf_dir), patched))
         store = every.where("split = 'datastore'")
         scales = series.prefix_scales(hourly_panel(spark, sf_dir), M).select(*SERIES, "origin", F.col("msse_scale").alias("scale"))
@@ -362,7 +364,7 @@ def g14_overall_choice(spark, sf_dir):
 
 
 #: Windows that extraction can adapt: the K nearest references' futures and the window's own are whole.
-_PATCHED = ", patched AS (SELECT item, channel, t, coalesce(y, lag(y) OVER (PARTITION BY item, channel ORDER BY t)) AS y FROM panel), refs AS"
+_PATCHED = f", patched AS (SELECT item, channel, t, last_value(y IGNORE NULLS) OVER (PARTITION BY item, channel ORDER BY t ROWS BETWEEN {PATCH} PRECEDING AND CURRENT ROW) AS y FROM panel), refs AS"
 ELIGIBLE = (
     REPS.replace("WHERE split = 'test'", "").replace(", refs AS", _PATCHED).replace("JOIN panel p", "JOIN patched p")
     + PAIRS.replace("split = 'test'", "split <> 'datastore'")
