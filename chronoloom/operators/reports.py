@@ -27,6 +27,16 @@ def scaled_error(results: DataFrame, baseline: DataFrame, keys: list[str], value
     return joined.withColumn("scaled", F.col(value) / good).drop("_base")
 
 
+def scaled_within(results: DataFrame, baseline: Column, keys: list[str], value: str = "mase") -> DataFrame:
+    """scaled_error by the one row of each task that is its baseline, read from the same rows: a baseline made apart may sum in another order, so that it is not its own equal."""
+    task = W.partitionBy(*keys)
+    given = F.when(baseline, F.col(value))
+    alone = F.when(F.count_if(baseline).over(task) > 1, F.raise_error(F.concat(F.lit("a key has several rows: "), F.to_json(F.struct(*keys)))).cast("double")).otherwise(F.max(given).over(task))
+    joined = results.withColumn("_base", alone)
+    good = F.when(F.col("_base").isNull() | (F.col("_base") <= 0), F.raise_error(F.lit("a task has no positive baseline")).cast("double")).otherwise(F.col("_base"))
+    return joined.withColumn("scaled", F.col(value) / good).drop("_base")
+
+
 def missing_tasks(expected: DataFrame, methods: DataFrame, results: DataFrame) -> DataFrame:
     """(task, method) pairs without a result; both lists are a few names."""
     return expected.crossJoin(F.broadcast(methods)).join(results, [*expected.columns, *methods.columns], "left_anti")

@@ -28,8 +28,7 @@ def effective(spark, sf_dir) -> DataFrame:
 
 
 def scaled(spark, sf_dir) -> DataFrame:
-    e = effective(spark, sf_dir)
-    return reports.scaled_error(e, e.where("method = '5-LOW'"), TASK)
+    return reports.scaled_within(effective(spark, sf_dir), F.col("method") == "5-LOW", TASK)
 
 
 @query("SELECT c_custkey AS id, c_mktsegment AS segment, n_name AS nation, orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON o_custkey = c_custkey")

@@ -256,6 +256,19 @@ def test_forecasters(spark):
     assert results["a"][0] == "ok" and results["b"][:2] == ("fallback", "vanilla")
 
 
+def test_a_baseline_is_its_own_equal(spark):
+    r = spark.createDataFrame([("d", t, m, v) for t, b in (("t", 4.0), ("u", 8.0)) for m, v in (("m", 2.0), ("base", b))], "dataset string, term string, method string, mase double")
+    # Sums in another order: a value that is drawn anew wherever it is worked out.
+    noisy = r.withColumn("mase", F.col("mase") * (1 + F.rand() * 1e-12))
+    keys, low = ["dataset", "term"], F.col("method") == "base"
+    assert {x.scaled for x in reports.scaled_within(noisy, low, keys).where(low).collect()} == {1.0}
+    assert sorted(x.scaled for x in reports.scaled_within(r, low, keys).collect()) == [0.25, 0.5, 1.0, 1.0]
+    with pytest.raises(Exception, match="baseline"):
+        reports.scaled_within(r.where("method = 'm'"), low, keys).collect()
+    with pytest.raises(Exception, match="several rows"):
+        reports.scaled_within(r.unionAll(r), low, keys).collect()
+
+
 def test_reports(spark):
     r = spark.createDataFrame([("d", "t", "m", 2.0), ("d", "t", "base", 4.0)], "dataset string, term string, method string, mase double")
     base = r.where("method = 'base'")
