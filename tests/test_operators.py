@@ -109,6 +109,12 @@ def test_shared_cap_that_leaves_nothing_is_an_error(spark):
     assert windows.recent_cap(refs, 100, True).count() == 9 and windows.recent_cap(refs, 6, True).count() == 6
 
 
+def test_shared_cap_under_a_window_a_series_may_leave_nothing(spark):
+    refs = spark.createDataFrame([(c, 0, o, o) for c in "abc" for o in range(3)], "item string, channel int, origin long, tick long")
+    assert windows.recent_cap(refs, 2, True, needed=False).count() == 0
+    assert windows.recent_cap(refs, 6, True, needed=False).count() == 6 and windows.recent_cap(refs, 100, True, needed=False).count() == 9
+
+
 def test_metrics_refuse_missing_forecasts(spark):
     cells = spark.createDataFrame([("a", 0, 0, 0, 1.0, None, 1.0)], "item string, channel int, window int, h int, y double, yhat double, scale double")
     with pytest.raises(Exception, match="missing inside"):
