@@ -7,7 +7,7 @@ both sides, filtered by the time at which a candidate's future is known.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,9 @@ def nearest(pairs: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
 
 
-#: References of a block and queries of a batch; a task holds one of each.
+#: References of a block and queries of a batch; a task holds one of each.  Of fewer where each pair is a row.
 BLOCK, BATCH = 4096, 512
+PAIRS = 512, 32
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -78,69 +79,109 @@ def masked_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", le
     return np.where(both >= max(1, np.ceil(n * least_overlap)), found, np.nan)
 
 
-def nearest_blocks(queries: DataFrame, store: DataFrame, stride: int, horizon: int, k: int, scope: str = "all", metric: str = "euclidean") -> DataFrame:
-    """query_id, rank, ref_id, distance: what nearest gives on the pairs of eligible, without making them.
+def direct_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", least_overlap: float = 0.8) -> np.ndarray:
+    """masked_distances from the differences themselves, so that small ones keep their digits; it holds a row for each pair."""
+    if metric != "euclidean":
+        return masked_distances(a, b, metric, least_overlap)
+    gap, n = a[:, None, :] - b[None, :, :], a.shape[1]
+    both = (~np.isnan(gap)).sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = np.sqrt(np.nansum(gap * gap, axis=2) * n / both)
+    return np.where(both >= max(1, np.ceil(n * least_overlap)), found, np.nan)
+
 
-    Each phase's references are dealt into blocks of about BLOCK, as many as its count asks for, and go to
-    one task each; queries, which are fewer, go to every block of their phase.  A task takes distances by matrix products and keeps k
-    of each query; those near the k-th are worked out again one by one, so that ties are those of equal vectors.
+def _scope_mask(scope: str, names: np.ndarray, others: np.ndarray) -> np.ndarray | bool:
+    return True if scope == "all" else (names[:, None] == others[None, :]) == (scope == "same_series")
+
+
+def _by_blocks(queries: DataFrame, store: DataFrame, stride: int, scope: str, work: Callable[[tuple, tuple], pa.RecordBatch | None], schema: str, size: int, batch: int) -> DataFrame:
+    """What work makes of each block of references and batch of queries in phase with it, both being ref_ids (Arrow), series, ticks, vectors.
+
+    Each phase's references are dealt into blocks of about size, as many as its count asks for, and go to
+    one task each; queries, which are fewer, go to every block of their phase.
     """
     if scope not in SCOPES:
         raise ValueError(f"no such scope: {scope}")
     phase = F.pmod("tick", F.lit(stride)).cast("long")
     series = F.concat_ws("/", F.col("item").cast("string"), F.col("channel").cast("string"))
     q, d = (x.select(phase.alias("phase"), "ref_id", series.alias("series"), F.col("tick").cast("long").alias("tick"), "rep") for x in (queries, store))
-    sizes = d.groupBy("phase").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))  # a row for each phase
+    sizes = d.groupBy("phase").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))  # a row for each phase
     d = d.join(F.broadcast(sizes), "phase").withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts"))).withColumn("side", F.lit(0))
     q = q.join(F.broadcast(sizes), "phase").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("side", F.lit(1))
     columns = ["phase", "part", "side", "ref_id", "series", "tick", "rep"]
     rows = q.select(*columns).unionByName(d.select(*columns)).repartition("phase", "part").sortWithinPartitions("phase", "part", "side")
 
-    def best(block: tuple, ids: list, names: np.ndarray, ticks: np.ndarray, reps: np.ndarray) -> list[tuple[str, str, float]]:
-        far = masked_distances(reps, block[3], metric)
-        allowed = block[2][None, :] + horizon <= ticks[:, None]
-        if scope != "all":
-            allowed &= (names[:, None] == block[1][None, :]) == (scope == "same_series")
-        far = np.where(allowed & ~np.isnan(far), far, np.inf)
-        out = []
-        for i, row in enumerate(far):
-            edge = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-            some = np.flatnonzero(row <= (edge + 1e-6 * (1 + edge) if np.isfinite(edge) else np.finfo(float).max))
-            exact = sorted((_exact(reps[i], block[3][j], metric), block[0][j]) for j in some)
-            out += [(ids[i], ref, float(x)) for x, ref in exact[:k]]
-        return out
+    def taken(rows: pa.RecordBatch | pa.Table) -> tuple:
+        whole = (lambda c: c.combine_chunks()) if isinstance(rows, pa.Table) else (lambda c: c)
+        return whole(rows.column(3)), np.array(rows.column(4).to_pylist()), rows.column(5).to_numpy(), _vectors(whole(rows.column(6)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
+        for rows in batches:
+            if not rows.num_rows:
                 continue
-            places = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            places = np.stack([rows.column(i).to_numpy() for i in range(3)])
             cuts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            for a, b in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
                 *where, side = (int(x) for x in places[:, a])
                 if key != where:
                     key, held, block = where, [], None
-                part = batch.slice(a, b - a)
+                part = rows.slice(a, b - a)
                 if side == 0:
                     held.append(part)
                     continue
                 if not held:
                     continue
                 if block is None:
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    block = (whole.column(3).to_pylist(), np.array(whole.column(4).to_pylist()), whole.column(5).to_numpy(), _vectors(whole.column(6).combine_chunks()))
-                for at in range(0, part.num_rows, BATCH):
-                    some = part.slice(at, BATCH)
-                    found = best(block, some.column(3).to_pylist(), np.array(some.column(4).to_pylist()), some.column(5).to_numpy(), _vectors(some.column(6)))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "ref_id", "distance"])
-
-    found = rows.mapInArrow(run, "query_id string, ref_id string, distance double")
+                    block = taken(pa.Table.from_batches(held))
+                for at in range(0, part.num_rows, batch):
+                    found = work(taken(part.slice(at, batch)), block)
+                    if found is not None and found.num_rows:
+                        yield found
+
+    return rows.mapInArrow(run, schema)
+
+
+def nearest_blocks(queries: DataFrame, store: DataFrame, stride: int, horizon: int, k: int, scope: str = "all", metric: str = "euclidean") -> DataFrame:
+    """query_id, rank, ref_id, distance: what nearest gives on the pairs of eligible, without making them.
+
+    A task takes a block's distances by matrix products and keeps k of each query; those near the k-th are
+    worked out again one by one, so that ties are those of equal vectors.
+    """
+
+    def best(asked: tuple, block: tuple) -> pa.RecordBatch | None:
+        ids, names, ticks, reps = asked
+        far = masked_distances(reps, block[3], metric)
+        allowed = (block[2][None, :] + horizon <= ticks[:, None]) & _scope_mask(scope, names, block[1])
+        far = np.where(allowed & ~np.isnan(far), far, np.inf)
+        out = []
+        for i, row in enumerate(far):
+            edge = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+            some = np.flatnonzero(row <= (edge + 1e-6 * (1 + edge) if np.isfinite(edge) else np.finfo(float).max))
+            exact = sorted((_exact(reps[i], block[3][j], metric), block[0][int(j)].as_py()) for j in some)
+            out += [(ids[i].as_py(), ref, float(x)) for x, ref in exact[:k]]
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "ref_id", "distance"])
+
+    found = _by_blocks(queries, store, stride, scope, best, "query_id string, ref_id string, distance double", BLOCK, BATCH)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
 
 
+def pair_distances(queries: DataFrame, store: DataFrame, stride: int, horizon: int, metrics: tuple[str, ...] = ("euclidean",), scope: str = "all") -> DataFrame:
+    """query_id, ref_id and a column for each metric: the distances of all pairs of eligible, null where too few places are shared, without a row of vectors for each pair."""
+
+    def all_of(asked: tuple, block: tuple) -> pa.RecordBatch | None:
+        allowed = (block[2][None, :] + horizon <= asked[2][:, None]) & _scope_mask(scope, asked[1], block[1])
+        i, j = np.nonzero(allowed)
+        far = [pa.array(direct_distances(asked[3], block[3], m)[i, j], from_pandas=True) for m in metrics]
+        return pa.RecordBatch.from_arrays([asked[0].take(pa.array(i)), block[0].take(pa.array(j)), *far], names=["query_id", "ref_id", *metrics])
+
+    schema = "query_id string, ref_id string, " + ", ".join(f"{m} double" for m in metrics)
+    return _by_blocks(queries, store, stride, scope, all_of, schema, *PAIRS)
+
+
 def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> float:
     both = ~np.isnan(a) & ~np.isnan(b)
     x, y = a[both], b[both]

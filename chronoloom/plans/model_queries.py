@@ -81,9 +81,8 @@ def e2_representations(spark, sf_dir):
 
 @query(REPS + PAIRS + " SELECT query_id, ref_id, " + r("CASE WHEN overlap >= ceil(" + str(L) + " * 0.8) THEN euclid END") + " AS euclid, " + r("CASE WHEN overlap >= ceil(" + str(L) + " * 0.8) THEN cosine END") + " AS cosine FROM dist")
 def e1_masked_distances(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    d = lambda m: vectors.distance(F.col("q_rep"), F.col("d_rep"), m)
-    return p.select("query_id", "ref_id", d("euclidean").alias("euclid"), d("cosine").alias("cosine"))
+    asked, store = references(spark, sf_dir)
+    return retrieval.pair_distances(asked, store, PREP.datastore_stride, H, ("euclidean", "cosine")).withColumnRenamed("euclidean", "euclid")
 
 
 @query(REPS + PAIRS + " SELECT query_id, count(*) AS eligible, count(CASE WHEN q_item = s_item THEN 1 END) AS same_series, count(CASE WHEN q_item <> s_item THEN 1 END) AS other_series FROM dist GROUP BY 1")
