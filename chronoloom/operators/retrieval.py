@@ -201,11 +201,24 @@ def scope_counts(queries: DataFrame, store: DataFrame, stride: int, horizon: int
     return joined.groupBy(F.col("q.ref_id").alias("query_id")).agg(F.sum("d.n").alias("eligible"), total(same).alias("same_series"), total(~same).alias("other_series"))
 
 
-def coverage(queries: DataFrame, pairs: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """query_id, eligible, comparable: how many candidates a query has, and how many have a distance to it."""
-    counted = pairs.groupBy("query_id").agg(F.count("*").alias("eligible"), F.count(distance(F.col("q_rep"), F.col("d_rep"), metric)).alias("comparable"))
+def coverage(queries: DataFrame, store: DataFrame, stride: int, horizon: int, scope: str = "all", metric: str = "euclidean") -> DataFrame:
+    """query_id, eligible, comparable: how many candidates a query has, and how many have a distance to it; counted in blocks, without a row for each pair."""
+    if metric == "euclidean":  # where there are values is all that counts
+        queries, store = (x.withColumn("rep", F.transform("rep", lambda v: F.when(v.isNotNull(), F.lit(1.0)))) for x in (queries, store))
+
+    def count(asked: tuple, block: tuple) -> pa.RecordBatch:
+        allowed = (block[2][None, :] + horizon <= asked[2][:, None]) & _scope_mask(scope, asked[1], block[1])
+        if metric == "euclidean":
+            has = [(~np.isnan(x)).astype(np.float32) for x in (asked[3], block[3])]
+            comparable = has[0] @ has[1].T >= max(1, np.ceil(asked[3].shape[1] * 0.8))
+        else:
+            comparable = ~np.isnan(masked_distances(asked[3], block[3], metric))
+        return pa.RecordBatch.from_arrays([asked[0], pa.array(allowed.sum(axis=1)), pa.array((allowed & comparable).sum(axis=1))], names=["query_id", "eligible", "comparable"])
+
+    counted = _by_blocks(queries, store, stride, scope, count, "query_id string, eligible long, comparable long", BLOCK, BATCH)
+    sums = counted.groupBy("query_id").agg(F.sum("eligible").alias("eligible"), F.sum("comparable").alias("comparable"))
     ids = queries.select(F.col("ref_id").alias("query_id"))
-    return ids.join(counted, "query_id", "left").fillna(0, ["eligible", "comparable"])
+    return ids.join(sums, "query_id", "left").fillna(0, ["eligible", "comparable"])
 
 
 def require_neighbours(found: DataFrame, queries: DataFrame, k: int) -> None:

@@ -69,11 +69,6 @@ def neighbours(spark, sf_dir, k: int = K) -> DataFrame:
     return retrieval.nearest_blocks(asked, store, PREP.datastore_stride, H, k)
 
 
-def pairs(spark, sf_dir, scope: str = "all") -> DataFrame:
-    asked, store = references(spark, sf_dir)
-    return retrieval.eligible(asked, store, PREP.datastore_stride, H, scope)
-
-
 @query(REPS + " SELECT ref_id, CAST(i AS INTEGER) AS i, " + r("x") + " AS x FROM rep WHERE split = 'test'")
 def e2_representations(spark, sf_dir):
     return references(spark, sf_dir)[0].select("ref_id", F.posexplode("rep").alias("i", "x"))
@@ -107,7 +102,7 @@ def j7_nearest_neighbours(spark, sf_dir):
 
 @query(REPS + PAIRS + f" SELECT query_id, count(*) AS eligible, count(CASE WHEN overlap >= ceil({L} * 0.8) THEN 1 END) AS comparable FROM dist GROUP BY 1")
 def j7_neighbour_coverage(spark, sf_dir):
-    return retrieval.coverage(references(spark, sf_dir)[0], pairs(spark, sf_dir))
+    return retrieval.coverage(*references(spark, sf_dir), PREP.datastore_stride, H)
 
 
 _FILLED = PANEL + f", refs AS (SELECT {_REF} AS ref_id, * FROM {_REFS}), rep AS (SELECT r.ref_id, r.split, r.item, r.channel, r.origin, p.t - r.origin AS i, p.filled AS x FROM refs r JOIN filled p ON p.item = r.item AND p.channel = r.channel AND p.t >= r.origin - {L} AND p.t < r.origin)"

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.functions import vectors
 from chronoloom.operators import evaluation, extraction, family, forecast, metrics, retrieval, ridge
 from chronoloom.sources import stages
 
@@ -38,6 +39,38 @@ def test_blocks_find_the_neighbours_that_pairs_do(spark, monkeypatch, scope, met
     assert retrieval.nearest_blocks(asked, store.limit(0), 12, 6, 4, scope, metric).count() == 0
 
 
+@pytest.mark.parametrize("scope", retrieval.SCOPES)
+def test_blocks_have_the_distances_of_all_pairs(spark, monkeypatch, scope):
+    monkeypatch.setattr(retrieval, "PAIRS", (16, 7))
+    rng = np.random.default_rng(5)
+    asked, store = spark.createDataFrame(refs(rng, 60), SCHEMA).withColumn("ref_id", F.concat(F.lit("q"), "ref_id")), spark.createDataFrame(refs(rng, 300), SCHEMA)
+    made = retrieval.eligible(asked, store, 12, 6, scope)
+    want = {(r.query_id, r.ref_id): (r.e, r.c) for r in made.select("query_id", "ref_id", *[vectors.distance(F.col("q_rep"), F.col("d_rep"), m).alias(m[0]) for m in ("euclidean", "cosine")]).collect()}
+    frame = retrieval.pair_distances(asked, store, 12, 6, ("euclidean", "cosine"), scope)
+    got = {(r.query_id, r.ref_id): (r.euclidean, r.cosine) for r in frame.collect()}
+    assert set(got) == set(want) and frame.count() == len(want) and {x is None for x, _ in want.values()} == {True, False}
+    for k, pair in want.items():
+        assert all((a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-12)) for a, b in zip(got[k], pair, strict=True))
+    assert retrieval.pair_distances(asked, store.limit(0), 12, 6).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_blocks_count_candidates_as_pairs_do(spark, monkeypatch, metric):
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "BATCH", 7)
+    rng = np.random.default_rng(6)
+    rows = refs(rng, 60)
+    rows[0] = (*rows[0][:4], [0.0] * len(rows[0][4]))
+    asked, store = spark.createDataFrame(rows, SCHEMA).withColumn("ref_id", F.concat(F.lit("q"), "ref_id")), spark.createDataFrame(refs(rng, 300), SCHEMA)
+    pairs = retrieval.eligible(asked, store, 12, 6).select("query_id", vectors.distance(F.col("q_rep"), F.col("d_rep"), metric).alias("x"))
+    want = {r.query_id: (r.n, r.m) for r in pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.count("x").alias("m")).collect()}
+    frame = retrieval.coverage(asked, store, 12, 6, metric=metric)
+    got = {r.query_id: (r.eligible, r.comparable) for r in frame.collect()}
+    assert len(got) == frame.count() == 60 and got == {f"q{r[0]}": want.get(f"q{r[0]}", (0, 0)) for r in rows}
+    assert any(n > m > 0 for n, m in got.values()) and (0, 0) in got.values()
+    assert {(r.eligible, r.comparable) for r in retrieval.coverage(asked, store.limit(0), 12, 6).collect()} == {(0, 0)}
+
+
 def extracted(rng, windows=40, h=6, most=2):
     """Rows as extraction gives them; the target follows the first neighbour's future."""
     rows = []
