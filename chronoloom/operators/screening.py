@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .reports import correlation
 from .series import SERIES, along, forward_fill, rolling_median_iqr
 
 #: Fewest steps of a usable series by frequency.
@@ -106,19 +107,88 @@ def screen(panel: DataFrame, least_length: int, width: int) -> DataFrame:
     return joined.select(*SERIES, checks.alias("checks")).withColumn("predictable", F.size("checks") == 0)
 
 
+#: Series of a block; a task holds two blocks and a few numbers for each pair of theirs.
+BLOCK = 1024
+
+
+def _aligned(t: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values less their series' mean and where there are any, in a row for each series and a column for each step."""
+    steps, at = np.unique(np.concatenate(t), return_inverse=True)
+    row = np.repeat(np.arange(len(t)), [len(x) for x in t])
+    values, has = np.zeros((len(t), len(steps))), np.zeros((len(t), len(steps)))
+    values[row, at], has[row, at] = np.concatenate([x - x.mean() for x in y]), 1.0
+    return values, has
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Pearson's of two series by deviations; None without variation."""
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return np.nan
+    if x.min() == x.max() or y.min() == y.max():
+        return None
+    x, y = x - x.mean(), y - y.mean()
+    size = np.sqrt((x * x).mean()) * np.sqrt((y * y).mean())
+    return (x * y).mean() / size if size else None
+
+
+def _block_correlations(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in a and b (ranks of names, steps, values) of the pairs above threshold, and their correlations; those near it, or with hardly any variation, are worked out one by one."""
+    odd = [~np.array([np.isfinite(y).all() for y in s[2]]) for s in (a, b)]
+    with np.errstate(all="ignore"):
+        x, has = _aligned([*a[1], *b[1]], [np.where(np.isfinite(y), y, 0.0) for y in (*a[2], *b[2])])
+        (xa, xb), (ha, hb) = (np.split(z, [len(a[1])]) for z in (x, has))
+        n = ha @ hb.T
+        ma, mb, va, vb = xa @ hb.T / n, ha @ xb.T / n, (xa * xa) @ hb.T / n, ha @ (xb * xb).T / n
+        da, db = va - ma * ma, vb - mb * mb
+        found = (xa @ xb.T / n - ma * mb) / (np.sqrt(da) * np.sqrt(db))
+        faint = (da <= 1e-8 * va) | (db <= 1e-8 * vb) | ~(np.abs(np.abs(found) - threshold) > 1e-9)
+    again = (n > 0) & (odd[0][:, None] | odd[1][None, :] | (n > 1) & faint)
+    once = a[0][:, None] < b[0][None, :] if a is b else a[0][:, None] != b[0][None, :]
+    still = [np.array([y.min() == y.max() for y in s[2]]) for s in (a, b)]
+    again &= once & (~(still[0][:, None] | still[1][None, :]) | odd[0][:, None] | odd[1][None, :])
+    found = np.where((n > 1) & ~faint & ~odd[0][:, None] & ~odd[1][None, :], found, 0.0)
+    keep = once & (np.abs(found) > threshold)
+    for i, j in zip(*np.nonzero(again), strict=True):
+        both = (ha[i] > 0) & (hb[j] > 0)
+        y = [s[2][k][both[h > 0]] for s, k, h in ((a, i, ha[i]), (b, j, hb[j]))]
+        r = _correlation(*y)
+        keep[i, j] = r is not None and not abs(r) <= threshold
+        found[i, j] = 0.0 if r is None else r
+    i, j = np.nonzero(keep)
+    return i, j, found[i, j]
+
+
 def correlated_pairs(panel: DataFrame, within_item: bool = True, threshold: float = CORRELATED) -> DataFrame:
     """Pairs of variates (a < b) and their correlation over steps where both are observed, above threshold.
 
-    Within items, or between all series of the same length; each step's values meet in one row per pair.
+    Within items, or between all series of the same length.  Each group's series are dealt into blocks of about
+    BLOCK; a task takes the sums of all pairs of two blocks by matrix products, and only pairs above threshold leave it.
     """
     key = F.concat_ws("/", "item", F.col("channel").cast("string"))
-    p = panel.select("item", "t", "y", key.alias("name"))
-    if not within_item:
-        p = p.withColumn("item", F.count("*").over(W.partitionBy("name")).cast("string"))
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.item") == F.col("b.item")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.name") < F.col("b.name")))
-    both = pairs.where(F.col("a.y").isNotNull() & F.col("b.y").isNotNull())
-    r = both.groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(correlation("a.y", "b.y").alias("r"))
-    return r.where(F.abs("r") > threshold)
+    every = panel.groupBy(*["item"] * within_item, key.alias("name"))
+    group = (F.col("item") if within_item else F.col("_n")).cast("string").alias("g")
+    seen = F.array_sort(F.collect_list(F.when(F.col("y").isNotNull(), F.struct("t", F.col("y").cast("double").alias("y")))))
+    rows = every.agg(F.count("*").alias("_n"), seen.alias("v")).where(F.size("v") > 0).select(group, "name", F.col("v.t").cast("array<long>").alias("t"), F.col("v.y").alias("y"))
+    sizes = every.agg(F.count("*").alias("_n")).groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    placed = rows.join(sizes if within_item else F.broadcast(sizes), "g").withColumn("p", F.pmod(F.xxhash64("name"), F.col("parts")))  # by length: a row for each
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("o")
+    dealt = placed.select("g", "name", "t", "y", "p", other).select("g", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "name", "t", "y")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        parts, names = table.column("p").to_numpy(), table.column("name").to_pylist()
+        rank = np.unique(np.array(names), return_inverse=True)[1]
+        arrays = [[x.values.to_numpy(zero_copy_only=False) for x in table.column(c)] for c in ("t", "y")]
+        sides = [np.flatnonzero(parts == p) for p in np.unique(parts)]
+        blocks = [(rank[s], [arrays[0][k] for k in s], [arrays[1][k] for k in s]) for s in sides]
+        if len(blocks) == 1 and table.column("i")[0] != table.column("j")[0]:
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "r": pa.array([], pa.float64())})
+        i, j, r = _block_correlations(blocks[0], blocks[-1], threshold)
+        i, j = sides[0][i], sides[-1][j]
+        swap = rank[i] > rank[j]
+        names = pa.array(names, pa.string())
+        return pa.table({"a": names.take(pa.array(np.where(swap, j, i))), "b": names.take(pa.array(np.where(swap, i, j))), "r": pa.array(r, pa.float64())})
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(pairs, "a string, b string, r double")
 
 
 def dataset_summary(screened: DataFrame, panel: DataFrame) -> DataFrame:

@@ -419,3 +419,39 @@ def test_command_line_lists_queries(capsys, monkeypatch):
     monkeypatch.setattr("sys.argv", ["chronoloom", "list"])
     __main__.main()
     assert "g1_window_metrics" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_correlated_pairs_in_blocks_are_those_of_the_join(spark, monkeypatch, within):
+    monkeypatch.setattr(screening, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=30)
+    rows = []
+    for i in range(5):
+        for c in range(4):
+            y = [None if rng.random() < 0.3 else float(v) for v in 1e6 + base * (c - 1) + rng.normal(size=30)]
+            if (i, c) == (1, 2):
+                y = [7.1] * 30  # no variation
+            if (i, c) == (2, 0):
+                y = [None] * 28 + [1.0, 2.0]
+            if (i, c) == (3, 3):
+                y[4] = float("nan")
+            if (i, c) == (3, 1):
+                y = [0.1] * 15 + [None] * 14 + [5.0]
+            rows += [(f"i{i}", c, t, v) for t, v in enumerate(y if i < 4 else y[:20])]
+    p = spark.createDataFrame(rows, PANEL)
+    q = p.select("t", "y", F.concat_ws("/", "item", F.col("channel").cast("string")).alias("name"), F.when(F.lit(within), F.col("item")).otherwise(F.when(F.col("item") < "i4", "30").otherwise("20")).alias("g")).where("y is not null")
+    pairs = q.alias("a").join(q.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.name") < F.col("b.name")))
+    r = pairs.groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(reports.correlation("a.y", "b.y").alias("r")).where(F.abs("r") > 0.2)
+    want = {(x.a, x.b): x.r for x in r.collect()}
+    frame = screening.correlated_pairs(p, within, 0.2)
+    got = {(x.a, x.b): x.r for x in frame.collect()}
+    assert set(got) == set(want) and frame.count() == len(want) > 10
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9, nan_ok=True) for k in want) and any(math.isnan(v) for v in got.values())
+    assert "FlatMapGroupsInArrow" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_correlated_pairs_of_few_steps(spark):
+    assert screening.correlated_pairs(panel(spark, a=[1.0], b=[2.0], c=[None]), False, 0.0).count() == 0
+    assert screening.correlated_pairs(panel(spark, a=[1.0, 2.0]), False, 0.0).count() == 0
+    assert [tuple(x) for x in screening.correlated_pairs(panel(spark, b=[1.0, 2.0], a=[4.0, 3.0]), False, 0.5).collect()] == [("a/0", "b/0", pytest.approx(-1.0))]
