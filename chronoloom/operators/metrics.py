@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import SERIES
+from .series import SERIES, along, forward_fill, seasonal_difference, so_far
 
 WINDOW = [*SERIES, "window"]
 #: Default quantile levels.
@@ -44,6 +44,28 @@ def actuals(panel: DataFrame, windows: DataFrame, horizon: int) -> DataFrame:
     return steps.join(panel, ["item", "t"]).select(*WINDOW, "origin", "h", "y")
 
 
+def strided_cells(panel: DataFrame, m: int, horizon: int, first: int, step: int, dates: int, other: int) -> DataFrame:
+    """item, channel, window, origin, h, y, yhat, other, scale of windows from first on, a step apart, in one pass along each series and without a join.
+
+    yhat is the seasonal-naive forecast, other the filled value of so many steps before, scale the MASE scale at the
+    origin.  The panel has every step of its series; a horizon beyond a season, or an origin within the first, is an error.
+    """
+    if not 0 < horizon <= m <= first or other > first:
+        raise ValueError("the horizon must lie within a season, and the season and the other step before the first origin")
+    lag = lambda c, n: F.lag(c, n).over(along())
+    d = seasonal_difference(forward_fill(panel), m)
+    mase = F.try_divide(F.sum(F.abs("diff")).over(so_far()), F.count("diff").over(so_far()))
+    d = d.withColumn("_s", F.nullif(mase, F.lit(0.0)))
+    past = F.array(*[lag("_s", h + 1) for h in range(horizon)])
+    d = d.select(*SERIES, "t", "y", lag("filled", m).alias("yhat"), lag("filled", other).alias("other"), past.alias("_s")).where(F.col("t") >= first)
+    hours = F.sequence(F.pmod(F.col("t") - first, F.lit(step)).cast("int"), F.lit(horizon - 1), F.lit(step))
+    begun = F.pmod(F.col("t") - first, F.lit(step)) < horizon
+    cells = d.where(begun).withColumn("h", F.explode(hours)).withColumn("origin", F.col("t") - F.col("h"))
+    cells = cells.where((F.col("origin") >= first) & (F.col("origin") <= first + step * (dates - 1)))
+    window = ((F.col("origin") - first) / step).cast("int")
+    return cells.select(*SERIES, window.alias("window"), "origin", "h", "y", "yhat", "other", F.get("_s", F.col("h")).alias("scale"))
+
+
 def evaluation_grid(cells: DataFrame) -> DataFrame:
     """Windows with their support and whether they are in the grid: the naive forecast (yhat) is finite wherever there is a target, and its scaled error is defined; cells has y, yhat, scale by h."""
     good = F.col("y").isNotNull()

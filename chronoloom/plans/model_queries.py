@@ -258,9 +258,9 @@ LONG = (
 
 
 def long_design(spark, sf_dir) -> DataFrame:
-    """Design rows of the long fitting period, tick being the date."""
-    origins = F.posexplode(F.sequence(F.lit(LONG_FIRST).cast("long"), F.lit(LONG_FIRST + LONG_STEP * (LONG_DATES - 1)).cast("long"), F.lit(LONG_STEP).cast("long"))).alias("window", "origin")
-    return design(spark, sf_dir, lengths(spark, sf_dir).select("item", origins)).withColumnRenamed("origin", "tick")
+    """Design rows of the long fitting period, tick being the date; dealt once, by item, since it has a row for each hour of each window."""
+    cells = metrics.strided_cells(hourly_panel(spark, sf_dir).repartition("item"), M, H, LONG_FIRST, LONG_STEP, LONG_DATES, 168)
+    return cells.where("y is not null").select(*SERIES, "window", F.col("origin").alias("tick"), "h", "scale", (F.col("y") - F.col("yhat")).alias("residual"), F.array("yhat", "other").alias("x"))
 
 
 @query(
@@ -274,7 +274,7 @@ def long_design(spark, sf_dir) -> DataFrame:
 )
 def g16_horizon_ridge(spark, sf_dir):
     d = long_design(spark, sf_dir).select(F.col("item").alias("query_id"), "tick", F.concat_ws("/", "channel", "window").alias("window"), F.pmod("h", F.lit(6)).alias("h"), "scale", "residual", "x")
-    asked = d.select("query_id").distinct()
+    asked = lengths(spark, sf_dir).select(F.col("item").alias("query_id"))
     b = ridge.horizon_ridge(d, asked, 2, 0.01, least=64, most=100)
     return b.select("query_id", "h", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"), "windows")
 

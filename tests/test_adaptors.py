@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import vectors
-from chronoloom.operators import evaluation, extraction, family, forecast, metrics, retrieval, ridge
+from chronoloom.operators import evaluation, extraction, family, forecast, metrics, retrieval, ridge, series
 from chronoloom.sources import stages
 
 
@@ -177,6 +177,27 @@ def test_evaluation_counts_what_falls_back(spark):
     assert set(total) == set(evaluation.METRICS) and total["mae"].fallback == 1 and total["mae"].fallback_rate == 0.25
 
 
+@pytest.mark.parametrize("step,horizon", [(5, 6), (7, 3)])
+def test_strided_cells_are_those_of_the_joins(spark, step, horizon):
+    rng = np.random.default_rng(4)
+    rows = [(i, c, t, None if rng.random() < 0.2 or (i, c) == ("b", 1) and t < 20 else float(rng.integers(0, 9))) for i in "ab" for c in (0, 1) for t in range(60)]
+    p = spark.createDataFrame(rows, "item string, channel int, t long, y double")
+    made = metrics.strided_cells(p, 6, horizon, 14, step, 8, 13)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.item, r.channel, r.window, r.h): (r.origin, r.y, r.yhat, r.other, r.scale) for r in made.collect()}
+    wins = spark.createDataFrame([(i, k, 14 + step * k) for i in "ab" for k in range(8)], "item string, window int, origin long")
+    filled = series.forward_fill(p)
+    cells = metrics.seasonal_naive(filled, wins, 6, horizon).join(metrics.actuals(p, wins, horizon).drop("origin"), [*metrics.WINDOW, "h"])
+    cells = cells.join(series.prefix_scales(p, 6).select("item", "channel", "origin", "mase_scale"), ["item", "channel", "origin"])
+    cells = cells.join(filled.select("item", "channel", (F.col("t") + 13).alias("at"), F.col("filled").alias("other")), ["item", "channel"]).where("at = origin + h")
+    want = {(r.item, r.channel, r.window, r.h): (r.origin, r.y, r.yhat, r.other, r.mase_scale) for r in cells.collect()}
+    assert set(got) == set(want) and len(want) == 4 * sum(1 for k in range(8) for h in range(horizon) if 14 + step * k + h < 60)
+    assert all(a == b if a is None or b is None else a == pytest.approx(b) for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert any(v[1] is None for v in got.values()) and any(v[4] is None for v in got.values())
+    with pytest.raises(ValueError, match="season"):
+        metrics.strided_cells(p, 6, 7, 14, step, 8, 13)
+
+
 def test_sliding_statistics_match_sums_over_dates(spark):
     rng = np.random.default_rng(8)
     rows = [("a", t, f"{t}", h, 2.0, float(rng.normal()), rng.normal(size=2).tolist()) for t in range(0, 60, 3) for h in range(4)]
