@@ -1,6 +1,8 @@
 """Neighbours, extraction and the family of adaptors against plain versions."""
 
 import math
+import os
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,8 +10,11 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import vectors
 from chronoloom.operators import evaluation, extraction, family, forecast, metrics, retrieval, ridge, series
+from chronoloom.plans import catalog
 from chronoloom.sources import stages
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def refs(rng, n, width=12, step=3):
     """References of three series, some values missing and some vectors equal."""
@@ -198,6 +203,12 @@ def test_strided_cells_are_those_of_the_joins(spark, step, horizon):
         metrics.strided_cells(p, 6, 7, 14, step, 8, 13)
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="the generated tables are not here")
+def test_the_long_design_is_never_broadcast(spark):
+    plans = [catalog.queries()[q](spark, DATA)._jdf.queryExecution().optimizedPlan().toString() for q in ("w17_sliding_statistics", "g16_horizon_ridge")]
+    assert "Join" not in plans[0] and plans[1].count("Join") == plans[1].count("Join LeftSemi") == 1
+
+
 def test_sliding_statistics_match_sums_over_dates(spark):
     rng = np.random.default_rng(8)
     rows = [("a", t, f"{t}", h, 2.0, float(rng.normal()), rng.normal(size=2).tolist()) for t in range(0, 60, 3) for h in range(4)]
