@@ -167,22 +167,33 @@ def units(text: Column, whole: Column) -> Column:
     return F.when(marked(text), F.filter(every, marked)).otherwise(none)
 
 
-def own_licenses(files: DataFrame, templates: dict[str, list[str] | str] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", file_col: str | None = None) -> DataFrame:
-    """files, but for text_col, with columns license and score (null and 0.0 where no unit reaches threshold); file_col tells licence files."""
+def own_licenses(files: DataFrame, templates: dict[str, list[str] | str] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", file_col: str | None = None, named: DataFrame | None = None) -> DataFrame:
+    """files, but for text_col, with columns license and score (null and 0.0 where no unit reaches threshold).
+
+    file_col tells licence files.  Where it takes a join to tell them, named has their keys (columns of files) instead:
+    these meet what the scan leaves, not the texts, and whole texts are then compared by the weights of lines and blocks.
+    """
     spark = files.sparkSession
     tables = Tables(spark)
     columns = [c for c in files.columns if c not in ("license", "score", text_col)]
-    whole = F.col(file_col) if file_col else F.lit(False)
+    whole = F.col(file_col) if file_col else F.lit(named is not None)
     # Files are numbered as they are written; every later step reads the numbers.
     found = files.select(F.struct(*columns).alias("file"), units(F.col(text_col).cast("string"), whole).alias("units"))
     found = tables.keep(found.select(F.monotonically_increasing_id().alias("row"), "file", "units"), "units")
     words = F.regexp_extract_all(F.lower("unit"), F.lit(r"([a-z0-9]+(?:\.[a-z0-9]+)*)"), F.lit(1))
-    held = found.select("row", F.posexplode("units").alias("unit_no", "unit")).select("row", "unit_no", F.explode(words).alias("term"))
-    held = held.where(~F.col("term").isin(sorted(STOP))).groupBy("row", "unit_no", "term").agg(F.count("*").alias("tf"))
+    kept = found.select("row", "units", F.size("units").alias("whole_no"))
+    if named is not None:  # a whole text is the last unit of any file; only licence files keep theirs
+        keys = found.where(F.size("units") > 0).select("row", *[F.col(f"file.{c}").alias(c) for c in named.columns])
+        told = keys.join(named.distinct().hint("shuffle_hash"), named.columns, "left_semi").select("row", F.lit(True).alias("told"))
+        kept = found.where(F.size("units") > 0).select("row", "units").join(told.hint("shuffle_hash"), "row", "left")
+        last = F.size("units") - 1
+        kept = kept.select("row", F.when(F.col("told"), F.col("units")).otherwise(F.slice("units", F.lit(1), last)).alias("units"), last.alias("whole_no"))
+    held = kept.select("row", "whole_no", F.posexplode("units").alias("unit_no", "unit")).select("row", "unit_no", (F.col("unit_no") < F.col("whole_no")).alias("counts"), F.explode(words).alias("term"))
+    held = held.where(~F.col("term").isin(sorted(STOP))).groupBy("row", "unit_no", "counts", "term").agg(F.count("*").alias("tf"))
     held = tables.keep(held, "terms")
 
-    n = held.select("row", "unit_no").distinct().count()
-    seen = held.groupBy("term").agg(F.count("*").alias("df"))
+    n = held.where("counts").select("row", "unit_no").distinct().count()
+    seen = held.where("counts").groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * F.ln(1 + F.lit(n) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
     vectors = tables.keep(salted_join(held, seen, ["term"], "row").select("row", "unit_no", "term", weight.alias("x")), "vectors")
     rows = template_terms(templates)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, html_extract, licenses, mixing, quality, sharding, topk, warc
+from .common import Tables
 from .near_dedup import near_duplicates
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -42,8 +43,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = docs.select("doc_id", "text", *[p.alias(n) for p, n in zip(parts, names, strict=True)])
     firsts = [placed.groupBy(*names[: k + 1]).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(k + 1).alias("level")) for k in range(len(parts))]
     level = functools.reduce(DataFrame.unionByName, firsts).groupBy("doc_id").agg(F.min("level").alias("level"))
+    level = Tables(spark).keep(level, "levels")
     # Text is read once: the places are joined to what the scan of it leaves.
-    whole = licenses.own_licenses(placed).join(level.hint("shuffle_hash"), "doc_id", "left")
+    whole = licenses.own_licenses(placed, named=level.select("doc_id")).join(level.hint("shuffle_hash"), "doc_id", "left")
     folder = F.concat_ws("/", F.slice(F.array(*names), F.lit(1), F.coalesce("level", F.lit(len(parts)))))
     files = whole.select("doc_id", F.concat_ws("/", folder, F.col("doc_id")).alias("path"), F.col("level").isNotNull().alias("is_license"), "license", "score")
     found = licenses.inherited(files)

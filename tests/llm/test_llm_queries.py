@@ -41,6 +41,16 @@ def texts(db):
     return {i: t or "" for i, t in db.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()}
 
 
+def test_licence_files_are_compared_as_a_whole(spark, tmp_path):
+    from chronoloom.llm import licenses
+
+    said = licenses.TEMPLATES["Zlib"][0].replace(". ", ".\n\n").replace(", ", ",\n\n")  # no paragraph is the licence
+    rows = [(0, said, "web", "en"), (1, said, "web", "en"), (2, "nothing of that", "web", "en"), (70, said + "\n\nReleased under the MIT License.", "code", None), (71, None, "code", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.license_source, r.effective_license) for r in queries.op2_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: ("Zlib", "own", "Zlib"), 1: (None, "inherited", "Zlib"), 2: (None, "inherited", "Zlib"), 70: ("MIT", "own", "MIT"), 71: (None, "inherited", "MIT")}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, db, name):
     got, want = plain(queries.queries()[name](spark, DATA).toPandas()), plain(db.execute(SQL[name]).df())
