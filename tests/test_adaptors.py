@@ -4,13 +4,14 @@ import math
 import os
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import vectors
 from chronoloom.operators import evaluation, extraction, family, forecast, metrics, retrieval, ridge, series
-from chronoloom.plans import catalog
+from chronoloom.plans import catalog, series_queries
 from chronoloom.sources import stages
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -209,6 +210,17 @@ def test_the_long_design_is_never_broadcast(spark):
     assert "Join" not in plans[0] and plans[1].count("Join") == plans[1].count("Join LeftSemi") == 1
 
 
+def test_the_panel_is_made_without_a_join(spark, tmp_path):
+    db, path = duckdb.connect(), f"{tmp_path}/events.parquet"
+    rows = "(0, 1, 'view', 1.25), (0, 2, 'view', 2.5), (719, 1, 'view', -3.0), (5, 151, 'view', NULL), (5, 1, 'click', NULL), (5, 2, 'click', 4.0), (6, NULL, 'click', 7.0), (7, 1, NULL, 8.0)"
+    db.execute(f"COPY (SELECT TIMESTAMP '2024-01-01' + to_hours(h) AS ts, CAST(u AS BIGINT) AS user_id, k AS event_type, CAST(v AS DOUBLE) AS value FROM (VALUES {rows}) e(h, u, k, v)) TO '{path}' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    made = series_queries._hourly_panel(spark, str(tmp_path))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = db.execute(series_queries.PANEL + "SELECT item, channel, t, y FROM panel").fetchall()
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want)) and len(want) == 4 * 2 * 720
+
+
 def test_sliding_statistics_match_sums_over_dates(spark):
     rng = np.random.default_rng(8)
     rows = [("a", t, f"{t}", h, 2.0, float(rng.normal()), rng.normal(size=2).tolist()) for t in range(0, 60, 3) for h in range(4)]
